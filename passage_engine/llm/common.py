@@ -63,6 +63,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` behind a generator of one row: no filter above is pushed below, where it would evaluate what it reads once more."""
+    return df.select(F.inline(F.array(F.struct("*"))))
+
+
 def words(text: Column) -> Column:
     """All words of a text; null has none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD_PATTERN})"), F.lit(1))

@@ -69,8 +69,8 @@ def line_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
         def confirm(pairs: DataFrame) -> DataFrame:
             a, b = texts.select(F.col("id").alias("a"), F.col("line").alias("la")), texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
             sets = pairs.join(b, "b").join(a, "a").select("a", "b", shingles(F.col("la")).alias("sa"), shingles(F.col("lb")).alias("sb"))
-            both = sets.withColumn("both", F.size(F.array_intersect("sa", "sb")))
-            return both.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+            counts = C.settled(sets.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both")))
+            return counts.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
         return confirm
 

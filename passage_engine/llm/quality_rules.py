@@ -52,7 +52,7 @@ def measure(docs: DataFrame, keep: list[str | Column]) -> DataFrame:
     out = out.withColumn("__p", F.sort_array(F.transform(F.filter("__s", near), lambda x: x["i"])))
     # windows cover three words each, less where the next one starts
     covered = F.aggregate(F.sequence(F.lit(1), F.size("__p") - 1), F.lit(3), lambda n, k: n + F.least(F.lit(3), F.col("__p")[k] - F.col("__p")[k - 1]))
-    return out.withColumn("n_repeat_words", F.when(F.col("__p").isNull(), 0).otherwise(covered).cast("long")).drop("__s", "__p")
+    return C.settled(out.withColumn("n_repeat_words", F.when(F.col("__p").isNull(), 0).otherwise(covered).cast("long")).drop("__s", "__p"))
 
 
 def ledger(docs: DataFrame, keep: list[str | Column] | None = None) -> DataFrame:
