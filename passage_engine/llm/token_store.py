@@ -22,7 +22,6 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -61,11 +60,17 @@ class WordEncoder:
     plain composed scripts, or with the tokenizer's special strings, go to the library whole.
     """
 
-    LIMIT = 400_000
+    LIMIT = 700_000
 
     def __init__(self, name: str):
-        self.tokenizer, self.known = _tokenizer(name), {}
+        self.tokenizer = _tokenizer(name)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.reset()
+
+    def reset(self) -> None:
+        #: Numbers of the strings; the ids of string k are flat[start[k] : start[k] + length[k]].
+        self.known = _Numbers()
+        self.flat, self.start, self.length, self.used = np.empty(1 << 21, np.uint32), np.empty(1 << 19, np.int64), np.empty(1 << 19, np.int64), 0
 
     def plain(self, text: str) -> bool:
         """True if cutting at ASCII white space can't change the ids: no combining mark, no other space, no special string."""
@@ -73,30 +78,75 @@ class WordEncoder:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.LIMIT:
-            self.known.clear()
-        known, parts, odd = self.known, [], {}
+            self.reset()
+        parts, odd = [], {}
         for k, text in enumerate(texts):
             if text and not self.plain(text):
                 odd[k] = text
                 parts.append([])
             else:
                 parts.append(text.encode().lower().split())  # ASCII letters only, which the tokenizer folds too
-        if new := set(chain.from_iterable(parts)).difference(known):
-            # marks after a letter are a piece of their own: encode what stands before them once for all its endings
-            ends = {w: (stem, w[len(stem) :]) for w in new if (stem := w.rstrip(MARKS)) != w and stem and stem.decode()[-1].isalpha()}
-            self._encode([w for w in new if w not in ends])
-            self._encode({x for pair in ends.values() for x in pair}.difference(known))
-            known.update((w, known[stem] + known[end]) for w, (stem, end) in ends.items())
-        get = known.__getitem__
-        out = [np.frombuffer(b"".join(map(get, p)), np.uint32) for p in parts]
+        starts = np.zeros(len(parts) + 1, np.int64)
+        np.cumsum([len(p) for p in parts], out=starts[1:])
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(starts[-1]))
+        if self.known.new:
+            self._learn()
+        ids, ends = self._ids(at)
+        cuts = ends[starts]
+        out = [ids[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
         for k, text in odd.items():
             out[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return out
 
-    def _encode(self, strings) -> None:
-        if strings := list(strings):
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in strings], add_special_tokens=False)
-            self.known.update(zip(strings, (array("I", e.ids).tobytes() for e in found), strict=True))
+    def _learn(self) -> None:
+        """Ids of the strings seen for the first time, in order of their numbers."""
+        known, number = self.known, self.known.__getitem__
+        # marks after a letter are a piece of their own: what stands before them is encoded once for all its endings
+        whole, joined, stems, marks = [], [], [], []
+        for w in known.new:
+            if w[-1] in MARKS and (stem := w.rstrip(MARKS)) and stem.decode()[-1].isalpha():
+                joined.append(w)
+                stems.append(stem)
+                marks.append(w[len(stem) :])
+            else:
+                whole.append(w)
+        known.new = []
+        stems, marks = list(map(number, stems)), list(map(number, marks))
+        whole += known.new
+        known.new = []
+        if grow := len(known) - len(self.start):
+            self.start, self.length = (np.concatenate([x, np.empty(max(len(x), grow), np.int64)]) if grow > 0 else x for x in (self.start, self.length))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        self._put(np.fromiter(map(number, whole), np.int64, len(whole)), n, np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())))
+        pairs = np.array([stems, marks], np.int64).T.ravel()
+        self._put(np.fromiter(map(number, joined), np.int64, len(joined)), self.length[pairs].reshape(-1, 2).sum(1), self._ids(pairs)[0])
+
+    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the strings of these numbers in a row, and where each ends, from 0."""
+        n = self.length[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return self.flat[np.repeat(self.start[at] - ends[:-1], n) + np.arange(ends[-1])], ends
+
+    def _put(self, at: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[at], self.length[at] = self.used + np.cumsum(n) - n, n
+        self.used += len(ids)
+
+
+class _Numbers(dict):
+    """Gives each string the next number; ``new`` has those not encoded yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        self.new.append(word)
+        return value
 
 
 @lru_cache(1)
