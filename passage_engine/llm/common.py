@@ -231,7 +231,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 # ---------------------------------------------------------------- links within buckets
 
 
-def bucket_components(member: DataFrame, confirmer: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+def bucket_components(member: DataFrame, confirmer: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], cross: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components of the confirmed links within buckets, (node, root) as ``components`` gives them.
 
     ``member`` has the distinct (key, id) of all buckets. ``confirmer`` gets the ids (id) that share a bucket with
@@ -241,6 +241,9 @@ def bucket_components(member: DataFrame, confirmer: Callable[[DataFrame], Callab
     different components, hubs aside, are compared next: those of the smallest components become hubs, at most
     ``step`` components a bucket, doubled each round, and only members of other components face them. It ends when
     no bucket has an open pair: no link within a bucket is lost, and no bucket has all its pairs made at once.
+
+    ``cross`` may take over after the stars: it gets the members (key, id, root) of buckets that still have more
+    than one component and returns links (a, b) that join all components linked within a bucket.
     """
     hubs = pin(member.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub < most").select("key", "hub"), "hubs")
     multi = pin(member.join(hubs, "key"), "buckets")
@@ -255,6 +258,9 @@ def bucket_components(member: DataFrame, confirmer: Callable[[DataFrame], Callab
         named = pin(named.join(mixed, "key"), "open")
         if named.isEmpty():
             return labels
+        if cross:
+            more = pin(cross(named), "links")
+            return labels if more.isEmpty() else components(links.unionByName(more))
         counts = named.groupBy("key", "root").agg(F.count("*").alias("n"))
         order = Window.partitionBy("key").orderBy("n", "root")
         turn = counts.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= step)

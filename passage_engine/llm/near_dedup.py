@@ -7,9 +7,10 @@
    to the others are candidates, as many as members, never all pairs.
 3. Candidates are confirmed on full shingle sets (100 * intersection >= 80 * union); union-find over the confirmed
    links gives components.
-4. Members of a bucket that are still in different components, hubs aside, are not given up: the smallest
-   components' members become hubs in turn, twice as many each round, and are compared with those of other
-   components, until no bucket has an open pair. So no link within a bucket is lost to the star shape.
+4. Members of a bucket that are still in different components, hubs aside, are not given up: those outside the
+   bucket's largest component face all its members, in chunks of ``CHUNK``, with exact intersections counted inside
+   a worker, which sends one link for each two components it joins. So no link within a bucket is lost to the star
+   shape, and no pair becomes a row.
 
 A pair of similarity 0.8 misses all bands with probability (1 - 0.8**5)**32 < 4e-6. Nothing is capped.
 Null or empty texts have no shingles and link with nothing. Repeated rows fall together; a null doc_id takes the
@@ -31,6 +32,7 @@ from passage_engine.llm import common as C
 
 BANDS, ROWS = 32, 5
 PROBES = 512
+CHUNK = 256
 SIGNED = "doc_id long, n_shingles long, fp_a long, fp_b long, bands array<long>"
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp_a", pa.int64()), ("fp_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
@@ -112,6 +114,88 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -
     return both.mapInArrow(overlap(size, num, den), "a long, b long")
 
 
+def crosser(size: int, num: int, den: int):
+    """Links between components within (key, chunk); rows come sorted by them and by side: first the chunk's own, then all members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, now, face = C.WordHashes(), None, None
+        for batch in C.text_blocks(batches):
+            h, starts = hashes.of([x.lower().split() for x in C.as_bytes(batch.column("text"))])
+            found = []
+            for k, (key, chunk, side, root) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "side", "root")), strict=True)):
+                if (key, chunk) != now:
+                    now, face = (key, chunk), Face(num, den)
+                own = C.shingle_set(h[starts[k] : starts[k + 1]], size)
+                if side == 0:
+                    face.add(own, root)
+                else:
+                    found += face.links(own, root)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+    return run
+
+
+class Face:
+    """Sets of one chunk, laid out so that a set's intersections with all of them are one gather and one sum."""
+
+    CELLS = 1 << 24
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den, self.sets, self.tables, self.top = num, den, [], None, {}
+
+    def add(self, own: np.ndarray, root: int) -> None:
+        self.sets.append((own, root))
+
+    def _build(self) -> None:
+        self.tables, at = [], 0
+        while at < len(self.sets):
+            to, total = at + 1, len(self.sets[at][0])
+            while to < len(self.sets) and (to + 1 - at) * (total + len(self.sets[to][0])) <= self.CELLS:
+                total += len(self.sets[to][0])
+                to += 1
+            part = self.sets[at:to]
+            vocabulary = np.unique(np.concatenate([x for x, _ in part]))
+            table = np.zeros((len(vocabulary), len(part)), np.uint8)
+            for k, (x, _) in enumerate(part):
+                table[np.searchsorted(vocabulary, x), k] = 1
+            self.tables.append((vocabulary, table, np.array([len(x) for x, _ in part]), [r for _, r in part]))
+            at = to
+
+    def _root(self, r: int) -> int:
+        while (up := self.top.get(r, r)) != r:
+            r = up
+        return r
+
+    def links(self, own: np.ndarray, root: int) -> list[tuple[int, int]]:
+        """Links from this set's component to others of the chunk that weren't joined with it yet."""
+        if self.tables is None:
+            self._build()
+        out = []
+        for vocabulary, table, sizes, roots in self.tables:
+            at = np.searchsorted(vocabulary, own)
+            at[at == len(vocabulary)] = 0
+            both = table[at[vocabulary[at] == own]].sum(0, dtype=np.int64)
+            for k in np.flatnonzero(self.den * both >= self.num * (sizes + len(own) - both)):
+                a, b = self._root(roots[k]), self._root(root)
+                if a != b:
+                    self.top[max(a, b)] = min(a, b)
+                    out.append((a, b))
+        return out
+
+
+def cross_links(members: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join the components of ``members`` (key, id, root) linked within a bucket."""
+    counts = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    most = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"))
+    chunks = F.ceil((F.col("all") - F.col("m.n")) / CHUNK).cast("int")
+    sized = members.join(C.pin(most.select("key", F.col("m.root").alias("most"), chunks.alias("chunks")), "most"), "key")
+    own = sized.where("root <> most").select("key", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("side"), "id", "root")
+    every = sized.select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("side"), "id", "root")
+    rows = own.unionByName(every).join(texts, "id").select("key", "chunk", "side", "root", "text")
+    return rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "side").mapInArrow(crosser(size, num, den), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``; links: shingle sets with a similarity of ``percent`` or more."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -123,11 +207,13 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, bands: in
     nodes = C.pin(nodes.select("doc_id", "n_shingles", "rep", F.when(lead, F.col("bands")).alias("bands")), "nodes")
 
     member = nodes.where("bands is not null").select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
+    texts: list[DataFrame] = []
+
     def confirmer(ids: DataFrame):
-        texts = C.pin(source.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"), "texts")
-        return lambda pairs: confirm(pairs, texts, size, percent, 100)
+        texts.append(C.pin(source.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"), "texts"))
+        return lambda pairs: confirm(pairs, texts[0], size, percent, 100)
 
-    labels = C.bucket_components(member, confirmer)
+    labels = C.bucket_components(member, confirmer, lambda members: cross_links(members, texts[0], size, percent, 100))
     out = nodes.select("doc_id", "n_shingles", "rep").join(labels, F.col("rep") == F.col("node"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
