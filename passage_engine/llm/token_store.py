@@ -20,7 +20,7 @@ ordered by (doc_id, root), nulls first. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import re
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ _RAW = pa.schema([("kind", pa.int32()), ("route", pa.binary()), ("key", pa.binar
 @lru_cache(2)
 def _tokenizer(name: str):
     import public_tokenizers
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(public_tokenizers.path(name))
@@ -48,8 +51,8 @@ def _tokenizer(name: str):
 
 #: Marks that never belong to a letter run or a contraction.
 MARKS = b".,;:!?*$%&#|)]}"
-#: Combining marks and all that lies beyond them, the one letter that folds to a mark, and two spaces.
-_ODD = re.compile("[\u0130\u0300-\U0010ffff\x85\xa0]")
+#: Texts that go to the library whole: with combining marks or what lies beyond them, the one letter that folds to a mark, other spaces, or the start of a special string.
+ODD = r"[\x{0130}\x{0300}-\x{10ffff}\x{85}\x{a0}]|<\|"
 
 
 class WordEncoder:
@@ -64,7 +67,8 @@ class WordEncoder:
 
     def __init__(self, name: str):
         self.tokenizer = _tokenizer(name)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if not all(t.content.startswith("<|") for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("this tokenizer has other special strings")
         self.reset()
 
     def reset(self) -> None:
@@ -72,30 +76,21 @@ class WordEncoder:
         self.known = _Numbers()
         self.flat, self.start, self.length, self.used = np.empty(1 << 21, np.uint32), np.empty(1 << 19, np.int64), np.empty(1 << 19, np.int64), 0
 
-    def plain(self, text: str) -> bool:
-        """True if cutting at ASCII white space can't change the ids: no combining mark, no other space, no special string."""
-        return (text.isascii() or not _ODD.search(text)) and not ("<" in text and any(s in text for s in self.special))
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a string array without nulls."""
         if len(self.known) > self.LIMIT:
             self.reset()
-        parts, odd = [], {}
-        for k, text in enumerate(texts):
-            if text and not self.plain(text):
-                odd[k] = text
-                parts.append([])
-            else:
-                parts.append(text.encode().lower().split())  # ASCII letters only, which the tokenizer folds too
-        starts = np.zeros(len(parts) + 1, np.int64)
-        np.cumsum([len(p) for p in parts], out=starts[1:])
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(starts[-1]))
+        odd = pc.match_substring_regex(texts, ODD)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(odd, "", texts)))  # ASCII letters only, which the tokenizer folds too
+        coded = lists.flatten().dictionary_encode()
+        own = np.fromiter(map(self.known.__getitem__, coded.dictionary.cast(pa.binary()).to_pylist()), np.int64, len(coded.dictionary))
         if self.known.new:
             self._learn()
-        ids, ends = self._ids(at)
-        cuts = ends[starts]
+        ids, ends = self._ids(own[coded.indices.to_numpy()])
+        cuts = ends[lists.offsets.to_numpy()]
         out = [ids[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
-        for k, text in odd.items():
-            out[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+            out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
         return out
 
     def _learn(self) -> None:
@@ -104,7 +99,7 @@ class WordEncoder:
         # marks after a letter are a piece of their own: what stands before them is encoded once for all its endings
         whole, joined, stems, marks = [], [], [], []
         for w in known.new:
-            if w[-1] in MARKS and (stem := w.rstrip(MARKS)) and stem.decode()[-1].isalpha():
+            if w and w[-1] in MARKS and (stem := w.rstrip(MARKS)) and stem.decode()[-1].isalpha():
                 joined.append(w)
                 stems.append(stem)
                 marks.append(w[len(stem) :])
@@ -186,9 +181,9 @@ def encoder(tokenizer: str, end_id: int, width: int):
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, sent, end = _encoder(tokenizer), set(), np.array([end_id], np.uint32)
-        for batch in C.text_blocks(batches):
+        for batch in C.text_blocks(batches, limit=8 << 20):
             rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), ids_of([x or "" for x in batch.column("text").to_pylist()]), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), ids_of(pc.fill_null(batch.column("text"), "")), strict=True):
                 ids = np.concatenate([ids, end])
                 data, keys, lens, at = ids.astype(kind).tobytes(), [], [], 0
                 for to in cut(ids):

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -95,7 +96,7 @@ def test_bucket_links_that_a_star_misses(spark):
 @given(st.text(alphabet=st.characters(max_codepoint=0x2FF) | st.sampled_from(" '.,!İ<|aésS\ń中\x1c\x85\xa0"), max_size=40))
 def test_word_encoder_is_the_library(text):
     own = token_store._encoder("word_bpe_49k.json")
-    assert own([text])[0].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert own(pa.array([text], pa.string()))[0].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_crc_shares():
