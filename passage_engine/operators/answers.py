@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from passage_engine.config import DEFAULTS
 from passage_engine.functions import text as T
@@ -63,7 +64,7 @@ def chat_context(hits: Column) -> Column:
 
 def ask_model(rows: DataFrame, prompt: str, model: LanguageModel, answer: str = "answer") -> DataFrame:
     """Add the model's reply to the column ``prompt``, and ``error``, null where it replied. An error is also the answer's text."""
-    schema = rows.schema.add(answer, "string").add("error", "string")
+    schema = StructType([*rows.schema.fields, StructField(answer, StringType()), StructField("error", StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from passage_engine.operators.sparse import DIGITS, OWN
 from passage_engine.operators.topk import top_k
@@ -31,7 +31,7 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
 
 def embed(rows: DataFrame, text: str, embedder: Embedder, tolerant: bool = True) -> DataFrame:
     """Add ``embedding`` and ``norm``. The embedder is made once a partition; a text it fails on gets a null vector, or fails the job."""
-    schema = rows.schema.add("embedding", ArrayType(FloatType()))
+    schema = StructType([*rows.schema.fields, StructField("embedding", ArrayType(FloatType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         embedder.open()

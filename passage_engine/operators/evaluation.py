@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from passage_engine.functions import text as T
 from passage_engine.providers import Judge
@@ -39,9 +40,7 @@ def diagnostics(answers: DataFrame) -> DataFrame:
 def judged(answers: DataFrame, truths: DataFrame, judge: Judge) -> DataFrame:
     """(question_idx, pipeline, question, answer, truth, one column a metric) of the valid answers."""
     rows = answers.where(is_valid()).join(truths.select("question_idx", "truth"), "question_idx").select("question_idx", "pipeline", "question", "answer", "truth", "contexts")
-    schema = rows.drop("contexts").schema
-    for m in METRICS:
-        schema = schema.add(m, "double")
+    schema = StructType([*rows.drop("contexts").schema.fields, *[StructField(m, DoubleType()) for m in METRICS]])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -390,7 +390,7 @@ def metric_summary_null_skipping(spark, sf):
     return own.withColumns({m: F.round(m, 6) for m in ("answer_relevancy", "faithfulness", "context_precision")})
 
 
-@query(f"WITH {METRIC_ROWS}, {SUMMARY} SELECT pipeline, round((answer_relevancy + faithfulness + context_precision) / 3, 6) AS average FROM summary")
+@query(f"WITH {METRIC_ROWS}, {SUMMARY} SELECT pipeline, round(list_avg([answer_relevancy, faithfulness, context_precision, context_recall]), 6) AS average FROM summary")
 def metric_overall(spark, sf):
     return evaluation.overall(evaluation.metric_summary(evaluation.metric_rows(_scores(spark, sf)))).withColumn("average", F.round("average", 6))
 
