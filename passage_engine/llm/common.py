@@ -45,7 +45,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def pin(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and return that table."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -210,8 +210,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not left.isEmpty():
         parent = pin(left.groupBy("u").agg(F.min("v").alias("v")), "parent")
         while True:
-            up = parent.select(F.col("u").alias("v"), F.col("v").alias("vv"))
-            parent = pin(parent.join(up, "v", "left").select("u", F.coalesce("vv", "v").alias("v"), F.col("vv").isNotNull().alias("moved")), "parent")
+            # two steps up at once; a path that was longer than one step may go on
+            one, two = parent.select(F.col("u").alias("v"), F.col("v").alias("v1")), parent.select(F.col("u").alias("v1"), F.col("v").alias("v2"))
+            up = parent.join(one, "v", "left").join(two, "v1", "left")
+            parent = pin(up.select("u", F.coalesce("v2", "v1", "v").alias("v"), F.col("v2").isNotNull().alias("moved")), "parent")
             if parent.where("moved").isEmpty():
                 break
         parent = parent.select("u", "v")
