@@ -45,12 +45,21 @@ def heading_titles(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(HEADING), F.lit(1)), strip)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def segments(text: Column) -> Column:
     """(title, body) after each heading up to the next; text before the first is left out; all of it, untitled, if there is none."""
-    titles, bodies = heading_titles(text), F.split(text, HEADING, -1)
-    titled = F.zip_with(titles, F.slice(bodies, 2, F.greatest(F.size(bodies) - 1, F.lit(0))), lambda t, b: F.struct(t.alias("title"), b.alias("body")))
     alone = F.array(F.struct(F.lit(None).cast("string").alias("title"), text.alias("body")))
-    return F.when(F.size(titles) == 0, alone).otherwise(titled)
+
+    def paired(x: Column) -> Column:
+        bodies = F.slice(x["bodies"], 2, F.greatest(F.size(x["bodies"]) - 1, F.lit(0)))
+        titled = F.zip_with(x["titles"], bodies, lambda t, b: F.struct(strip(t).alias("title"), b.alias("body")))
+        return F.when(F.size(x["titles"]) == 0, alone).otherwise(titled)
+
+    return let(F.struct(F.regexp_extract_all(text, F.lit(HEADING), F.lit(1)).alias("titles"), F.split(text, HEADING, -1).alias("bodies")), paired)
 
 
 def word_set(text: Column) -> Column:
@@ -96,8 +105,10 @@ def finite(x: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Shared words by all words; 0 if either side has none."""
-    x, y = word_set(a), word_set(b)
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(0.0)
+    def share(s: Column) -> Column:
+        return F.when((F.size(s["a"]) > 0) & (F.size(s["b"]) > 0), F.size(F.array_intersect(s["a"], s["b"])) / F.size(F.array_union(s["a"], s["b"]))).otherwise(0.0)
+
+    return let(F.struct(word_set(a).alias("a"), word_set(b).alias("b")), share)
 
 
 def file_name(path: Column) -> Column:

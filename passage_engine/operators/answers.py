@@ -18,11 +18,14 @@ SNIPPET, FALLBACK = 300, 600
 
 def extractive_answer(question: Column, passages: Column, max_sentences: int = DEFAULTS.max_sentences) -> Column:
     """The sentences that share most words with the question, ties in order; the start of the first passage if all are blank."""
-    asked = T.word_set(question)
-    each = F.flatten(F.transform(passages, lambda p, r: F.transform(T.sentences(p), lambda s, i: F.struct((-F.size(F.array_intersect(asked, T.word_set(s)))).alias("less"), r.alias("passage"), i.alias("place"), s.alias("text")))))
-    best = F.slice(F.filter(F.transform(F.array_sort(each), lambda x: x["text"]), T.has_text), 1, max_sentences)
+
+    def pieces(asked: Column) -> Column:
+        one = lambda p, r: F.transform(T.sentences(p), lambda s, i: F.struct((-F.size(F.array_intersect(asked, T.word_set(s)))).alias("less"), r.alias("passage"), i.alias("place"), s.alias("text")))
+        return F.slice(F.filter(F.transform(F.array_sort(F.flatten(F.transform(passages, one))), lambda x: x["text"]), T.has_text), 1, max_sentences)
+
     fallback = F.coalesce(T.prefix(F.get(passages, F.lit(0)), FALLBACK), F.lit(""))
-    return F.when(F.size(best) > 0, F.array_join(best, " ")).otherwise(fallback)
+    best = T.let(T.word_set(question), pieces)
+    return T.let(best, lambda found: F.when(F.size(found) > 0, F.array_join(found, " ")).otherwise(fallback))
 
 
 def with_passages(candidates: DataFrame, chunks: DataFrame) -> DataFrame:

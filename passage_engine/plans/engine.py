@@ -12,7 +12,7 @@ from passage_engine.config import CLASSIC, DEFAULTS, DENSE, Defaults
 from passage_engine.functions import text as T
 from passage_engine.operators import answers, chunking, dense, evaluation, groundtruth, sparse
 from passage_engine.providers import Embedder, Judge, LanguageModel
-from passage_engine.sources import readers, writers
+from passage_engine.sources import readers, tables, writers
 
 
 def build_chunks(pages: DataFrame, defaults: Defaults = DEFAULTS, dense_pipelines: tuple[str, ...] = ()) -> DataFrame:
@@ -24,9 +24,9 @@ def build_chunks(pages: DataFrame, defaults: Defaults = DEFAULTS, dense_pipeline
 
 
 def search(chunks: DataFrame, questions: DataFrame, k: int = DEFAULTS.top_k, stop_words: frozenset[str] | None = None) -> DataFrame:
-    """Top k of each question in each collection and pipeline of ``chunks``, the index being made on the way."""
-    tf = sparse.term_frequency(chunks, stop_words)
-    stats = sparse.term_stats(tf, chunks)
+    """Top k of each question in each collection and pipeline of ``chunks`` (a table), the index being made on the way."""
+    tf = tables.pin(sparse.term_frequency(chunks, stop_words), "tf")
+    stats = tables.pin(sparse.term_stats(tf, chunks), "stats")
     return sparse.retrieve(sparse.postings(tf, stats), stats, chunks, questions, k, stop_words)
 
 
@@ -52,7 +52,7 @@ class Engine:
         writers.store(chunks, self.data, "chunks", ["chunk_ord"])
         collections = [r[0] for r in pages.select("collection_id").distinct().limit(1000).collect()]
         kept = readers.chunk_store(self.spark, self.data).where(F.col("collection_id").isin(collections) & F.col("pipeline").isin(*CLASSIC))
-        tf = sparse.term_frequency(kept)
+        tf = tables.pin(sparse.term_frequency(kept), "tf")
         stats = sparse.term_stats(tf, kept)
         writers.store(stats, self.data, "term_stats", ["term"])
         writers.store(sparse.postings(tf, stats), self.data, "postings", ["term"])

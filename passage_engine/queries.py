@@ -17,6 +17,7 @@ from passage_engine.operators import answers, chunking, dense, evaluation, groun
 from passage_engine.operators.topk import top_k
 from passage_engine.plans import engine
 from passage_engine.providers import HashEmbedder, OverlapJudge, ScriptedModel
+from passage_engine.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,12 +56,17 @@ def _qa(spark: SparkSession, sf: str) -> DataFrame:
     return user.join(reply, (F.col("conv_id") == F.col("cid")) & (F.col("turn") == F.col("before"))).select("conv_id", "turn", F.col("text").alias("question"), "answer")
 
 
+def _table_of(cut: DataFrame) -> DataFrame:
+    """Chunks as the store has them: cut once, numbered once."""
+    return tables.pin(chunking.numbered(tables.pin(cut, "cut")), "chunks")
+
+
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return engine.build_chunks(_pages(spark, sf))
+    return _table_of(chunking.all_classic(_pages(spark, sf)))
 
 
 def _fixed(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.numbered(chunking.fixed(_pages(spark, sf)))
+    return _table_of(chunking.fixed(_pages(spark, sf)))
 
 
 # ---------------------------------------------------------------- SQL parts
@@ -182,7 +188,7 @@ def projections(spark, sf):
 
 @query(f"WITH {FIXED} SELECT {SHOWN} FROM chunks")
 def chunk_fixed(spark, sf):
-    return _shown(_fixed(spark, sf))
+    return _shown(chunking.numbered(chunking.fixed(_pages(spark, sf))))
 
 
 @query(f"WITH {_chunk_sql('sliding')} SELECT {SHOWN} FROM chunks")
@@ -207,7 +213,7 @@ def chunk_semantic(spark, sf):
 
 @query(f"WITH {ALL} SELECT {SHOWN} FROM chunks")
 def union_pipelines(spark, sf):
-    return _shown(_chunks(spark, sf))
+    return _shown(engine.build_chunks(_pages(spark, sf)))
 
 
 @query(f"WITH {ALL} SELECT collection_id, pipeline, count(*) AS chunks, count(DISTINCT (source_file, page)) AS pages, count(DISTINCT source_file) AS files FROM chunks GROUP BY ALL")
@@ -252,7 +258,7 @@ def vocabulary(spark, sf):
 def _retrieval(name: str) -> None:
     def run(spark, sf):
         cut = {"fixed": chunking.fixed, "structure": chunking.structure, "sliding": chunking.sliding}[name]
-        return engine.search(chunking.numbered(cut(_pages(spark, sf))), _questions(spark, sf), D.top_k)
+        return engine.search(_table_of(cut(_pages(spark, sf))), _questions(spark, sf), D.top_k)
 
     run.__name__ = f"retrieve_tfidf_{name}"
     query(f"WITH {_chunk_sql(name)}, {INDEX}, {_search(BENCH, 6)} SELECT {HITS} FROM hits")(run)
