@@ -1,14 +1,11 @@
 """Shared parts of the corpus operators: pinned tables, blocks of texts, word hashes, prefix sums, union-find.
 
-Every table that an operator reads more than once is *pinned*: written as Parquet into the folder that the
-session names in ``spark.checkpoint.dir`` and read again. That cuts the lineage, survives lost executors, and
-makes later joins shuffle both sides by themselves, so that adaptive execution can split a hot key.
+Every table that an operator reads more than once is *pinned*: written into the folder that the session names in
+``spark.checkpoint.dir`` and read again.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from passage_engine.sources.tables import new_path, pin, remove_pinned, shared_dir  # noqa: F401
+
 U64 = np.uint64
 #: Words are runs of anything but the six ASCII white-space bytes; ``bytes.split()`` cuts at exactly these.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -26,35 +25,6 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session, else one set here."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="passage-engine-"))
-            found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get()
-    return f"{base.rstrip('/')}/pinned-{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def pin(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as a table in the shared folder and return that table."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_pinned(spark: SparkSession) -> None:
-    """Delete all tables pinned by this application; results that still read them must be written first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
