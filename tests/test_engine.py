@@ -6,12 +6,15 @@ import json
 import math
 import random
 import re
+import threading
+import urllib.error
+import urllib.request
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from passage_engine import cli, providers
+from passage_engine import api, cli, providers
 from passage_engine.config import CLASSIC, CloudSettings
 from passage_engine.functions import text as T
 from passage_engine.operators import answers, chunking, dense, evaluation, groundtruth, sparse
@@ -297,6 +300,24 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main([*data, "ask", "--doc-id", "nobody", "--question", "fox"], spark) == 1
 
 
+def test_http(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, text in TEXTS.items():
+        (tmp_path / "in" / name).write_text(text, encoding="utf-8")
+    own = Engine(spark, str(tmp_path / "d"))
+    own.ingest(str(tmp_path / "in"), "c")
+    served = api.server(own, port=0)
+    threading.Thread(target=served.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{served.server_port}"
+    got = json.load(urllib.request.urlopen(f"{base}/ask?doc_id=c&question=deep%20sea&top_k=1"))
+    assert got["question"] == "deep sea" and [len(r["sources"]) for r in got["results"]] == [1, 1, 1]
+    for path, status in (("/ask?doc_id=x&question=y", 404), ("/ask?doc_id=c", 422), ("/ask?doc_id=c&question=y&top_k=-1", 422), ("/", 404)):
+        with pytest.raises(urllib.error.HTTPError) as e:
+            urllib.request.urlopen(base + path)
+        assert e.value.code == status
+    served.shutdown()
+
+
 def test_providers():
     with pytest.raises(ValueError):
         providers.language_model("other")
