@@ -143,19 +143,20 @@ class Mixture:
         self.placed = C.pin(C.prefix_sums(C.pin(named, "named"), "doc_id", {"size": "at"}, group="source_no", ties=["row"]), "placed")
         blocks = self.placed.where("size > 0").select("row", "source_no", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
         lo, hi = F.greatest(F.col("block") * block, "at") - F.col("at"), F.least((F.col("block") + 1) * block, F.col("at") + F.col("size")) - F.col("at")
-        #: (row, source_no, block, lo, hi): words lo to hi of a document are in the block.
+        #: (row, source_no, block, lo, hi): words lo to hi of a document are in the block. Its joins are told to
+        #: shuffle, as Spark guesses its size, and that of the slots, from the few rows they are made from.
         self.pieces = blocks.select("row", "source_no", "block", lo.alias("lo"), hi.alias("hi"))
 
     def taken(self) -> DataFrame:
         """(doc_id, size, source_size, target, taken) of each document."""
         times = self.plan.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-        got = self.pieces.join(times, ["source_no", "block"]).groupBy("row").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
+        got = self.pieces.hint("merge").join(times, ["source_no", "block"]).groupBy("row").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
         out = self.placed.join(got, "row", "left")
         return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
     def parts(self) -> DataFrame:
         """(row, parts): of each document that is taken, its (pass, lo, hi) in order; as many as its blocks and passes."""
-        got = self.pieces.join(self.plan.select("source_no", "block", "pass"), ["source_no", "block"])
+        got = self.pieces.hint("merge").join(self.plan.select("source_no", "block", "pass"), ["source_no", "block"])
         return got.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pass", "lo", "hi"))).alias("parts"))
 
 
