@@ -346,7 +346,7 @@ def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     own = recipes(spark, path)
     pieces = own.select("start", "keys", "lens", "root").mapInArrow(_pieces, "start long, key binary, n long, after long")
     stored = chunks(spark, path).mapInArrow(_digests(width), "key binary, crc long, stored long")
-    found = pieces.join(stored, "key", "left")
+    found = pieces.hint("merge").join(stored, "key", "left")
     whole = F.when(F.col("stored") == F.col("n"), F.col("crc")).otherwise(F.raise_error(F.lit("a chunk is missing or has another length")).cast("long"))
     shares = found.select("start", "n", "after", whole.alias("crc")).mapInArrow(_shares, "start long, n long, share long")
     crcs = shares.groupBy("start").agg(F.bit_xor("share").alias("ids_crc32"), F.sum("n").alias("n_read"))
@@ -356,7 +356,7 @@ def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 def read_documents(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """(doc_id, start, ids array<int>) rebuilt from the store."""
     pieces = recipes(spark, path).select("start", "keys", "lens", "root").mapInArrow(_pieces, "start long, key binary, n long, after long")
-    found = pieces.join(chunks(spark, path).select("key", "payload"), "key")
+    found = pieces.hint("merge").join(chunks(spark, path).select("key", "payload"), "key")
     bodies = found.groupBy("start").agg(F.sort_array(F.collect_list(F.struct((-F.col("after")).alias("o"), "payload"))).alias("parts"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
