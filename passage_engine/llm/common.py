@@ -203,50 +203,43 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 # ---------------------------------------------------------------- links within buckets
 
 
-def bucket_components(member: DataFrame, confirmer: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], cross: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def bucket_components(member: DataFrame, confirmer: Callable[[DataFrame], tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]]) -> DataFrame:
     """Components of the confirmed links within buckets, (node, root) as ``components`` gives them.
 
     ``member`` has the distinct (key, id) of all buckets. ``confirmer`` gets the ids (id) that share a bucket with
-    another and returns a function that keeps the linked ones of candidate pairs (a, b).
+    another and returns two functions: one keeps the linked of candidate pairs (a, b); the other gets members
+    (key, id, root) of buckets with more than one component and returns links (a, b) between roots that join all
+    components linked within a bucket (see ``faces``).
 
     A bucket's least id is the hub of a star, so there are no more candidates than members. Members still in
-    different components, hubs aside, are compared next: those of the smallest components become hubs, at most
-    ``step`` components a bucket, doubled each round, and only members of other components face them. It ends when
-    no bucket has an open pair: no link within a bucket is lost, and no bucket has all its pairs made at once.
-
-    ``cross`` may take over after the stars: it gets the members (key, id, root) of buckets that still have more
-    than one component and returns links (a, b) that join all components linked within a bucket.
+    different components, hubs aside, then face each other, so that no link within a bucket is lost.
     """
     hubs = pin(member.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub < most").select("key", "hub"), "hubs")
     multi = pin(member.join(hubs, "key"), "buckets")
     pairs = pin(multi.where("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    confirm = confirmer(multi.select("id").distinct())
+    confirm, cross = confirmer(multi.select("id").distinct())
     links = pin(confirm(pairs), "links")
     labels = components(links)
-    rest, step = multi.where("id <> hub").select("key", "id"), 8
-    while True:
-        named = pin(rest.join(labels, rest["id"] == labels["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root")), "rest")
-        mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        named = pin(named.join(mixed, "key"), "open")
-        if named.isEmpty():
-            return labels
-        if cross:
-            more = pin(cross(named), "links")
-            return labels if more.isEmpty() else components(links.unionByName(more))
-        counts = named.groupBy("key", "root").agg(F.count("*").alias("n"))
-        order = Window.partitionBy("key").orderBy("n", "root")
-        turn = counts.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= step)
-        # the last component of a bucket has nobody left to be compared with
-        most = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("root"))
-        turn = pin(turn.select("key", "root", "turn").join(most, ["key", "root"], "left_anti"), "turn")
-        ranked = pin(named.join(turn, ["key", "root"], "left"), "ranked")
-        hub = ranked.where("turn is not null").select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("turn").alias("ta"))
-        found = hub.join(ranked.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), "turn"), "key").where("ra <> rb and (turn is null or ta < turn)")
-        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        fresh = pin(found, "pairs")
-        more = pin(confirm(fresh), "links")
-        pairs = pairs.unionByName(fresh)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
-        rest, step = ranked.where("turn is null").select("key", "id"), 2 * step
+    named = multi.where("id <> hub").select("key", "id").join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    named = pin(named, "rest")
+    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    named = pin(named.join(mixed, "key"), "open")
+    if named.isEmpty():
+        return labels
+    more = pin(cross(named), "links")
+    return labels if more.isEmpty() else components(links.unionByName(more))
+
+
+def faces(members: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Members (key, id, root) of open buckets as chunks that face all members: two tables (key, chunk, id, root).
+
+    The first has each bucket's members outside its largest component, in chunks of about ``size``; the second has
+    all members once for each chunk. Whoever compares each chunk with its members meets every pair of different
+    components, and no pair is a row.
+    """
+    counts = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    most = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"))
+    chunks = F.ceil((F.col("all") - F.col("m.n")) / size).cast("int")
+    sized = members.join(pin(most.select("key", F.col("m.root").alias("most"), chunks.alias("chunks")), "most"), "key")
+    own = sized.where("root <> most").select("key", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "id", "root")
+    return own, sized.select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "root")

@@ -5,7 +5,8 @@
    the signature reads the ``ROWS`` least hashes after each of ``BANDS`` fixed pivots, round the end if need be.
    Each run is a min-wise sample of the set, and its hash is a band's key.
 2. Equal lines collapse by a 128-bit hash; equal band keys put lines into a bucket, with star-shaped candidates.
-3. Candidates are verified by exact Jaccard similarity of the shingle strings (``PERCENT``).
+3. Candidates are verified by exact Jaccard similarity of the shingle strings (``PERCENT``). Members of a bucket left in
+   different components face each other in chunks of ``CHUNK`` inside array functions, so no link is lost to the star.
 4. Distributed union-find gives components; of each, the occurrence with the least (doc_id, line number) is kept.
 
 A pair of similarity 0.8 misses all bands with probability (1 - 0.8**3)**10 < 0.001, one of 0.9 below 3e-6.
@@ -21,13 +22,13 @@ from pyspark.sql import functions as F
 
 from passage_engine.llm import common as C
 
-CHARS, BANDS, ROWS, PERCENT = 8, 10, 3, 80
+CHARS, BANDS, ROWS, PERCENT, CHUNK = 8, 10, 3, 80, 32
 SPACE = r"\x20\x09-\x0D"
 
 
 def shingles(line: Column, chars: int = CHARS) -> Column:
     """Distinct runs of up to ``chars`` characters from each word start."""
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?s)(?<![^{SPACE}])(?=([^{SPACE}].{{0,{chars - 1}}}))"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{chars}}}))[^{SPACE}]++"), F.lit(1)))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -55,8 +56,13 @@ def line_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
     own = lines(docs)
     keys = [F.xxhash64("line").alias("ha"), F.xxhash64(F.lit(11), F.reverse("line")).alias("hb")]
     signed = _signed(own, bands, rows).select(*keys, "doc_id", "line_no", *[F.col("bands")[k].alias(f"b{k}") for k in range(bands)])
-    first = F.min(F.struct("doc_id", "line_no")).alias("first")
-    nodes = signed.groupBy("ha", "hb").agg(first, *[F.min(f"b{k}").alias(f"b{k}") for k in range(bands)])
+    # (doc_id, line_no) as one number, which a hash aggregate can keep: null doc_ids below all others
+    place = F.coalesce(F.col("doc_id").cast("decimal(30,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(30,0)")) * F.lit(1 << 32).cast("decimal(30,0)") + F.col("line_no")
+    nodes = signed.groupBy("ha", "hb").agg(F.min(place.cast("decimal(38,0)")).alias("place"), *[F.min(f"b{k}").alias(f"b{k}") for k in range(bands)])
+    doc = F.floor(F.col("place") / F.lit(1 << 32).cast("decimal(11,0)"))
+    line = (F.col("place") - doc.cast("decimal(25,0)") * F.lit(1 << 32).cast("decimal(11,0)")).cast("int")
+    first = F.struct(F.when(doc >= F.lit(str(-(1 << 63))).cast("decimal(25,0)"), doc).cast("long").alias("doc_id"), line.alias("line_no")).alias("first")
+    nodes = nodes.select("ha", "hb", first, *[f"b{k}" for k in range(bands)])
     nodes = C.pin(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     member = nodes.select("id", F.explode(F.array(*[f"b{k}" for k in range(bands)])).alias("key")).select("key", "id")
 
@@ -72,7 +78,18 @@ def line_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
             counts = C.settled(sets.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both")))
             return counts.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
-        return confirm
+        def cross(members: DataFrame) -> DataFrame:
+            chunk, every = C.faces(members, CHUNK)
+            sets = texts.select("id", shingles(F.col("line")).alias("own"))
+            face = chunk.join(sets, "id").groupBy("key", "chunk").agg(F.collect_list(F.struct("root", "own")).alias("face"))  # CHUNK or so
+            met = C.settled(every.hint("merge").join(sets, "id").select("key", "chunk", "root", "own")).join(face, ["key", "chunk"])
+            both = lambda h: F.size(F.array_intersect(h["own"], "own"))
+            near = lambda h: (h["root"] != F.col("root")) & (100 * F.least(F.size(h["own"]), F.size("own")) >= percent * F.greatest(F.size(h["own"]), F.size("own")))
+            linked = F.filter(F.filter("face", near), lambda h: (100 + percent) * both(h) >= percent * (F.size(h["own"]) + F.size("own")))
+            found = met.select("root", F.explode(F.array_distinct(F.transform(linked, lambda h: h["root"]))).alias("other"))
+            return found.select(F.least("root", "other").alias("a"), F.greatest("root", "other").alias("b")).distinct()
+
+        return confirm, cross
 
     labels = C.bucket_components(member, confirmer)
     # of each line: its own first occurrence, or that of its component

@@ -186,13 +186,9 @@ class Face:
 
 def cross_links(members: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Links (a, b) that join the components of ``members`` (key, id, root) linked within a bucket."""
-    counts = members.groupBy("key", "root").agg(F.count("*").alias("n"))
-    most = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"))
-    chunks = F.ceil((F.col("all") - F.col("m.n")) / CHUNK).cast("int")
-    sized = members.join(C.pin(most.select("key", F.col("m.root").alias("most"), chunks.alias("chunks")), "most"), "key")
-    own = sized.where("root <> most").select("key", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("side"), "id", "root")
-    every = sized.select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("side"), "id", "root")
-    rows = own.unionByName(every).join(texts, "id").select("key", "chunk", "side", "root", "text")
+    own, every = C.faces(members, CHUNK)
+    own, every = own.withColumn("side", F.lit(0)), every.withColumn("side", F.lit(1))
+    rows = own.unionByName(every).hint("merge").join(texts, "id").select("key", "chunk", "side", "root", "text")
     return rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "side").mapInArrow(crosser(size, num, den), "a long, b long")
 
 
@@ -207,13 +203,12 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, bands: in
     nodes = C.pin(nodes.select("doc_id", "n_shingles", "rep", F.when(lead, F.col("bands")).alias("bands")), "nodes")
 
     member = nodes.where("bands is not null").select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
-    texts: list[DataFrame] = []
 
     def confirmer(ids: DataFrame):
-        texts.append(C.pin(source.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"), "texts"))
-        return lambda pairs: confirm(pairs, texts[0], size, percent, 100)
+        texts = C.pin(source.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"), "texts")
+        return lambda pairs: confirm(pairs, texts, size, percent, 100), lambda members: cross_links(members, texts, size, percent, 100)
 
-    labels = C.bucket_components(member, confirmer, lambda members: cross_links(members, texts[0], size, percent, 100))
+    labels = C.bucket_components(member, confirmer)
     out = nodes.select("doc_id", "n_shingles", "rep").join(labels, F.col("rep") == F.col("node"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -81,11 +81,17 @@ def test_components_of_chains_and_stars(spark):
 
 
 def test_bucket_links_that_a_star_misses(spark):
-    """The hub 0 is like nobody; 1..9 are linked in pairs that only later rounds compare."""
-    linked = {(1, 2), (3, 4), (4, 5), (8, 9)}
+    """The hub 0 is like nobody; the links among 1..9 are met only when the rest of the bucket faces itself."""
+    linked = [(1, 2), (3, 4), (4, 5), (8, 9)]
     member = spark.createDataFrame([(1, i) for i in range(10)], "key long, id long")
-    ok = spark.createDataFrame(sorted(linked), "a long, b long")
-    found = C.bucket_components(member, lambda ids: lambda pairs: pairs.join(ok, ["a", "b"]))
+    ok = spark.createDataFrame(linked, "a long, b long")
+
+    def cross(members):
+        chunk, every = C.faces(members, 2)
+        pairs = chunk.select("key", "chunk", F.col("id").alias("a")).join(every.select("key", "chunk", F.col("id").alias("b")), ["key", "chunk"])
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(ok, ["a", "b"])
+
+    found = C.bucket_components(member, lambda ids: (lambda pairs: pairs.join(ok, ["a", "b"]), cross))
     assert {r["node"]: r["root"] for r in found.collect()} == {2: 1, 4: 3, 5: 3, 9: 8}
 
 
