@@ -13,54 +13,69 @@ OWN = ["collection_id", "pipeline"]
 DIGITS = 6  # scores are rounded before they are ranked, so that the order of a sum doesn't decide a tie
 
 
-def term_frequency(chunks: DataFrame, stop_words: frozenset[str] | None = None) -> DataFrame:
-    each = chunks.select(*OWN, "chunk_ord", F.explode(T.terms(F.col("text"), stop_words)).alias("term"))
-    return each.groupBy(*OWN, "chunk_ord", "term").agg(F.count("*").alias("tf"))
+def term_frequency(chunks: DataFrame, stop_words: frozenset[str] | None = None, own: list[str] = OWN) -> DataFrame:
+    each = chunks.select(*own, "chunk_ord", F.explode(T.terms(F.col("text"), stop_words)).alias("term"))
+    return each.groupBy(*own, "chunk_ord", "term").agg(F.count("*").alias("tf"))
 
 
-def term_stats(tf: DataFrame, chunks: DataFrame) -> DataFrame:
+def term_stats(tf: DataFrame, chunks: DataFrame, own: list[str] = OWN) -> DataFrame:
     """Document frequency and smoothed inverse document frequency of each term."""
-    df = tf.groupBy(*OWN, "term").agg(F.count("*").alias("df"))
-    n = chunks.groupBy(*OWN).agg(F.count("*").alias("n"))  # a row a collection and pipeline
-    return df.join(n, OWN).select(*OWN, "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    df = tf.groupBy(*own, "term").agg(F.count("*").alias("df"))
+    n = chunks.groupBy(*own).agg(F.count("*").alias("n"))  # a row a collection and pipeline
+    return df.join(n, own).select(*own, "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def postings(tf: DataFrame, stats: DataFrame) -> DataFrame:
+def postings(tf: DataFrame, stats: DataFrame, own: list[str] = OWN) -> DataFrame:
     """Weights of the terms of each chunk, as unit vectors."""
-    raw = tf.join(stats, [*OWN, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*OWN, "chunk_ord")))
-    return raw.withColumn("weight", F.col("w") / norm).select(*OWN, "chunk_ord", "term", "tf", "weight")
+    raw = tf.join(stats, [*own, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*own, "chunk_ord")))
+    return raw.withColumn("weight", F.col("w") / norm).select(*own, "chunk_ord", "term", "tf", "weight")
 
 
-def chunk_norms(tf: DataFrame, stats: DataFrame) -> DataFrame:
-    raw = tf.join(stats, [*OWN, "term"])
-    return raw.groupBy(*OWN, "chunk_ord").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
+def chunk_norms(tf: DataFrame, stats: DataFrame, own: list[str] = OWN) -> DataFrame:
+    raw = tf.join(stats, [*own, "term"])
+    return raw.groupBy(*own, "chunk_ord").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
 
 
-def question_vectors(questions: DataFrame, stats: DataFrame, stop_words: frozenset[str] | None = None) -> DataFrame:
+def question_vectors(questions: DataFrame, stats: DataFrame, stop_words: frozenset[str] | None = None, own: list[str] = OWN) -> DataFrame:
     """Unit vectors of the questions in each collection and pipeline; terms unknown there don't count."""
     each = questions.select("question_idx", F.explode(T.terms(F.col("question"), stop_words)).alias("term"))
     tf = each.groupBy("question_idx", "term").agg(F.count("*").alias("tf"))
     raw = stats.join(tf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*OWN, "question_idx")))
-    return raw.withColumn("q", F.col("w") / norm).select(*OWN, "question_idx", "term", "q")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*own, "question_idx")))
+    return raw.withColumn("q", F.col("w") / norm).select(*own, "question_idx", "term", "q")
 
 
-def retrieve(index: DataFrame, stats: DataFrame, chunks: DataFrame, questions: DataFrame, k: int, stop_words: frozenset[str] | None = None) -> DataFrame:
+def retrieve(index: DataFrame, stats: DataFrame, chunks: DataFrame, questions: DataFrame, k: int, stop_words: frozenset[str] | None = None, own: list[str] = OWN) -> DataFrame:
     """(question_idx, collection_id, pipeline, rank, score, chunk_ord) of the k best chunks of each question.
 
     Chunks without a common term score 0 and fill up: as ties go by chunk_ord, only the first k of a collection can
     be among them, so k padding rows a question stand for all, and no question meets every chunk.
     """
     check_k(k)
-    group = ["question_idx", *OWN]
-    dots = index.join(question_vectors(questions, stats, stop_words), [*OWN, "term"]).groupBy(*group, "chunk_ord").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
+    dots = index.join(question_vectors(questions, stats, stop_words, own), [*own, "term"]).groupBy("question_idx", *own, "chunk_ord").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
+    return ranked(dots, chunks, questions, k, own)
+
+
+def retrieve_unindexed(tf: DataFrame, stats: DataFrame, chunks: DataFrame, questions: DataFrame, k: int, stop_words: frozenset[str] | None = None, own: list[str] = OWN) -> DataFrame:
+    """The same from term frequencies: weights are divided by the chunk's norm after they are summed, so no row of the
+    index is sorted or moved but once, by term."""
+    check_k(k)
+    raw = tf.join(stats, [*own, "term"]).select(*own, "chunk_ord", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = raw.groupBy(*own, "chunk_ord").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = raw.join(question_vectors(questions, stats, stop_words, own), [*own, "term"]).groupBy("question_idx", *own, "chunk_ord").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
+    return ranked(dots.join(norms, [*own, "chunk_ord"]).withColumn("score", F.col("dot") / F.col("norm")), chunks, questions, k, own)
+
+
+def ranked(dots: DataFrame, chunks: DataFrame, questions: DataFrame, k: int, own: list[str] = OWN) -> DataFrame:
+    """Top k of scored chunks, filled up with zeros."""
+    group = ["question_idx", *own]
     dots = dots.select(*group, "chunk_ord", F.round("score", DIGITS).alias("score"))
     best = top_k(dots, group, k).drop("rank")
-    pad = chunks.where(F.col("chunk_ord") < k).select(*OWN, "chunk_ord").crossJoin(questions.select("question_idx"))
+    pad = chunks.where(F.col("chunk_ord") < k).select(*own, "chunk_ord").crossJoin(questions.select("question_idx"))
     rows = best.unionByName(pad.select(*group, "chunk_ord", F.lit(0.0).alias("score")))
     merged = rows.groupBy(*group, "chunk_ord").agg(F.max("score").alias("score"))
-    return top_k(merged, group, k).select("question_idx", *OWN, "rank", "score", "chunk_ord")
+    return top_k(merged, group, k).select("question_idx", *own, "rank", "score", "chunk_ord")
 
 
 def require_terms(stats: DataFrame) -> None:

@@ -24,10 +24,16 @@ def build_chunks(pages: DataFrame, defaults: Defaults = DEFAULTS, dense_pipeline
 
 
 def search(chunks: DataFrame, questions: DataFrame, k: int = DEFAULTS.top_k, stop_words: frozenset[str] | None = None) -> DataFrame:
-    """Top k of each question in each collection and pipeline of ``chunks`` (a table), the index being made on the way."""
-    tf = tables.pin(sparse.term_frequency(chunks, stop_words), "tf")
-    stats = tables.pin(sparse.term_stats(tf, chunks), "stats")
-    return sparse.retrieve(sparse.postings(tf, stats), stats, chunks, questions, k, stop_words)
+    """Top k of each question in each collection and pipeline of ``chunks`` (a table), the index being made on the way.
+
+    The rows in between carry one number for their collection and pipeline instead of both names.
+    """
+    names = tables.pin(chunks.select("collection_id", "pipeline").distinct().withColumn("space", F.monotonically_increasing_id()), "spaces")
+    coded, own = chunks.join(names, ["collection_id", "pipeline"]).select("space", "chunk_ord", "text"), ["space"]
+    tf = tables.pin(sparse.term_frequency(coded, stop_words, own), "tf")
+    stats = tables.pin(sparse.term_stats(tf, coded, own), "stats")
+    found = sparse.retrieve_unindexed(tf, stats, coded, questions, k, stop_words, own)
+    return found.join(names, "space").select("question_idx", "collection_id", "pipeline", "rank", "score", "chunk_ord")
 
 
 @dataclass
