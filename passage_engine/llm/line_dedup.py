@@ -6,7 +6,8 @@
    Each run is a min-wise sample of the set, and its hash is a band's key.
 2. Equal lines collapse by a 128-bit hash; equal band keys put lines into a bucket, with star-shaped candidates.
 3. Candidates are verified by exact Jaccard similarity of the shingle strings (``PERCENT``). Members of a bucket left in
-   different components face each other in chunks of ``CHUNK`` inside array functions, so no link is lost to the star.
+   different components face each other in chunks of ``CHUNK`` inside array functions, by the shingles' 64-bit hashes,
+   so no link is lost to the star.
 4. Distributed union-find gives components; of each, the occurrence with the least (doc_id, line number) is kept.
 
 A pair of similarity 0.8 misses all bands with probability (1 - 0.8**3)**10 < 0.001, one of 0.9 below 3e-6.
@@ -22,13 +23,22 @@ from pyspark.sql import functions as F
 
 from passage_engine.llm import common as C
 
-CHARS, BANDS, ROWS, PERCENT, CHUNK = 8, 10, 3, 80, 32
+CHARS, BANDS, ROWS, PERCENT, CHUNK = 8, 10, 3, 80, 64
 SPACE = r"\x20\x09-\x0D"
 
 
+def runs(line: Column, chars: int = CHARS) -> Column:
+    """Runs of up to ``chars`` characters from each word start."""
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{chars}}}))[^{SPACE}]++"), F.lit(1))
+
+
 def shingles(line: Column, chars: int = CHARS) -> Column:
-    """Distinct runs of up to ``chars`` characters from each word start."""
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{chars}}}))[^{SPACE}]++"), F.lit(1)))
+    return F.array_distinct(runs(line, chars))
+
+
+def hashes(line: Column, chars: int = CHARS) -> Column:
+    """64-bit hashes of the shingles; distinct numbers are found faster than distinct strings."""
+    return F.array_distinct(F.transform(runs(line, chars), lambda s: F.xxhash64(s)))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -41,7 +51,7 @@ def _signed(own: DataFrame, bands: int, rows: int) -> DataFrame:
     """Add the band keys to lines."""
     step = (1 << 64) // bands
     pivots = [k * step - (1 << 63) for k in range(bands)]
-    hashed = own.withColumn("__h", F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s)))
+    hashed = own.withColumn("__h", hashes(F.col("line")))
     ordered = hashed.withColumn("__o", F.sort_array("__h"))
     # a pivot's place among the hashes, less the pivots before it, is the number of hashes below it
     placed = ordered.withColumn("__p", F.sort_array(F.concat("__o", F.array(*[F.lit(p) for p in pivots]))))
@@ -54,8 +64,8 @@ def _signed(own: DataFrame, bands: int, rows: int) -> DataFrame:
 def line_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, line_no, rep_doc_id, rep_line_no, kept) of every line with a word; the rep is the component's kept line."""
     own = lines(docs)
-    keys = [F.xxhash64("line").alias("ha"), F.xxhash64(F.lit(11), F.reverse("line")).alias("hb")]
-    signed = _signed(own, bands, rows).select(*keys, "doc_id", "line_no", *[F.col("bands")[k].alias(f"b{k}") for k in range(bands)])
+    keys = [F.xxhash64("line").alias("ha"), F.xxhash64(F.lit(11), "line").alias("hb")]
+    signed = C.pin(_signed(own, bands, rows).select(*keys, "doc_id", "line_no", *[F.col("bands")[k].alias(f"b{k}") for k in range(bands)]), "signed")
     # (doc_id, line_no) as one number, which a hash aggregate can keep: null doc_ids below all others
     place = F.coalesce(F.col("doc_id").cast("decimal(30,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(30,0)")) * F.lit(1 << 32).cast("decimal(30,0)") + F.col("line_no")
     nodes = signed.groupBy("ha", "hb").agg(F.min(place.cast("decimal(38,0)")).alias("place"), *[F.min(f"b{k}").alias(f"b{k}") for k in range(bands)])
@@ -80,7 +90,7 @@ def line_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
 
         def cross(members: DataFrame) -> DataFrame:
             chunk, every = C.faces(members, CHUNK)
-            sets = texts.select("id", shingles(F.col("line")).alias("own"))
+            sets = texts.select("id", hashes(F.col("line")).alias("own"))
             face = chunk.join(sets, "id").groupBy("key", "chunk").agg(F.collect_list(F.struct("root", "own")).alias("face"))  # CHUNK or so
             met = C.settled(every.hint("merge").join(sets, "id").select("key", "chunk", "root", "own")).join(face, ["key", "chunk"])
             both = lambda h: F.size(F.array_intersect(h["own"], "own"))
@@ -97,7 +107,7 @@ def line_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
     several = labels.select("root").distinct()
     least = C.pin(plain.join(several, "root", "left_semi").groupBy("root").agg(F.min("first").alias("rep")), "reps")
     classes = C.pin(plain.join(least, "root", "left").select("ha", "hb", F.coalesce("rep", "first").alias("rep")), "classes")
-    out = own.select("doc_id", "line_no", *keys).join(classes, ["ha", "hb"])
+    out = signed.select("doc_id", "line_no", "ha", "hb").join(classes, ["ha", "hb"])
     out = out.select("doc_id", "line_no", F.col("rep.doc_id").alias("rep_doc_id"), F.col("rep.line_no").alias("rep_line_no"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("rep_doc_id")) & (F.col("line_no") == F.col("rep_line_no")))
 
