@@ -348,6 +348,7 @@ def test_json_lines_and_top_k(spark, tmp_path):
 def test_plans_stay_in_the_jvm(spark, sf):
     from passage_engine.queries import QUERIES
 
-    for name in ("retrieve_tfidf_structure", "evaluate_proxy"):
-        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
-        assert "Python" not in plan and "ReadSchema: struct<doc_id:bigint,text:string,source:string>" in plan and "WindowGroupLimit" in plan
+    plan = lambda name: QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    cut, found = plan("chunk_structure"), plan("retrieve_tfidf_structure")
+    assert "ReadSchema: struct<doc_id:bigint,text:string,source:string>" in cut and "WindowGroupLimit" in found
+    assert not any("Python" in x or "Pandas" in x or "Arrow" in x for x in (cut, found))
