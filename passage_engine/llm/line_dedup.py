@@ -11,6 +11,8 @@
 4. Distributed union-find gives components; of each, the occurrence with the least (doc_id, line number) is kept.
 
 A pair of similarity 0.8 misses all bands with probability (1 - 0.8**3)**10 < 0.001, one of 0.9 below 3e-6.
+Characters of a word past the ``CHARS``-th are in no such shingle, so lines that differ only there are one. With ``every``
+shingles start at every character (a shorter line is one shingle), so every character of a line is read.
 Lines without a word are always kept and belong to no component. Null texts have no lines. Null doc_ids come
 first; equal rows are occurrences of the same line, so the first is kept (of equal (doc_id, line number), all).
 Other columns are not read.
@@ -27,18 +29,22 @@ CHARS, BANDS, ROWS, PERCENT, CHUNK = 8, 10, 3, 80, 64
 SPACE = r"\x20\x09-\x0D"
 
 
-def runs(line: Column, chars: int = CHARS) -> Column:
-    """Runs of up to ``chars`` characters from each word start."""
+def runs(line: Column, chars: int = CHARS, every: bool = False) -> Column:
+    """Runs of up to ``chars`` characters from each word start; with ``every``, of ``chars`` from every character, or the whole of a shorter line."""
+    if every:
+        # the lookahead takes the run, the dot goes on by one character
+        long = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{chars}}}))."), F.lit(1))
+        return F.when(F.length(line) < chars, F.array(line)).otherwise(long)
     return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{chars}}}))[^{SPACE}]++"), F.lit(1))
 
 
-def shingles(line: Column, chars: int = CHARS) -> Column:
-    return F.array_distinct(runs(line, chars))
+def shingles(line: Column, chars: int = CHARS, every: bool = False) -> Column:
+    return F.array_distinct(runs(line, chars, every))
 
 
-def hashes(line: Column, chars: int = CHARS) -> Column:
+def hashes(line: Column, chars: int = CHARS, every: bool = False) -> Column:
     """64-bit hashes of the shingles; distinct numbers are found faster than distinct strings."""
-    return F.array_distinct(F.transform(runs(line, chars), lambda s: F.xxhash64(s)))
+    return F.array_distinct(F.transform(runs(line, chars, every), lambda s: F.xxhash64(s)))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -47,11 +53,11 @@ def lines(docs: DataFrame) -> DataFrame:
     return cut.where(F.col("line").rlike(f"[^{SPACE}]"))
 
 
-def _signed(own: DataFrame, bands: int, rows: int) -> DataFrame:
+def _signed(own: DataFrame, bands: int, rows: int, every: bool) -> DataFrame:
     """Add the band keys to lines."""
     step = (1 << 64) // bands
     pivots = [k * step - (1 << 63) for k in range(bands)]
-    hashed = own.withColumn("__h", hashes(F.col("line")))
+    hashed = own.withColumn("__h", hashes(F.col("line"), every=every))
     ordered = hashed.withColumn("__o", F.sort_array("__h"))
     # a pivot's place among the hashes, less the pivots before it, is the number of hashes below it
     placed = ordered.withColumn("__p", F.sort_array(F.concat("__o", F.array(*[F.lit(p) for p in pivots]))))
@@ -61,11 +67,11 @@ def _signed(own: DataFrame, bands: int, rows: int) -> DataFrame:
     return twice.withColumn("bands", F.array(*keys)).drop("__h", "__o", "__p")
 
 
-def line_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
+def line_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, every: bool = False) -> DataFrame:
     """(doc_id, line_no, rep_doc_id, rep_line_no, kept) of every line with a word; the rep is the component's kept line."""
     own = lines(docs)
     keys = [F.xxhash64("line").alias("ha"), F.xxhash64(F.lit(11), "line").alias("hb")]
-    signed = C.pin(_signed(own, bands, rows).select(*keys, "doc_id", "line_no", *[F.col("bands")[k].alias(f"b{k}") for k in range(bands)]), "signed")
+    signed = C.pin(_signed(own, bands, rows, every).select(*keys, "doc_id", "line_no", *[F.col("bands")[k].alias(f"b{k}") for k in range(bands)]), "signed")
     # (doc_id, line_no) as one number, which a hash aggregate can keep: null doc_ids below all others
     place = F.coalesce(F.col("doc_id").cast("decimal(30,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(30,0)")) * F.lit(1 << 32).cast("decimal(30,0)") + F.col("line_no")
     nodes = signed.groupBy("ha", "hb").agg(F.min(place.cast("decimal(38,0)")).alias("place"), *[F.min(f"b{k}").alias(f"b{k}") for k in range(bands)])
@@ -84,13 +90,13 @@ def line_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
 
         def confirm(pairs: DataFrame) -> DataFrame:
             a, b = texts.select(F.col("id").alias("a"), F.col("line").alias("la")), texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
-            sets = pairs.join(b, "b").join(a, "a").select("a", "b", shingles(F.col("la")).alias("sa"), shingles(F.col("lb")).alias("sb"))
+            sets = pairs.join(b, "b").join(a, "a").select("a", "b", shingles(F.col("la"), every=every).alias("sa"), shingles(F.col("lb"), every=every).alias("sb"))
             counts = C.settled(sets.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both")))
             return counts.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
         def cross(members: DataFrame) -> DataFrame:
             chunk, every = C.faces(members, CHUNK)
-            sets = texts.select("id", hashes(F.col("line")).alias("own"))
+            sets = texts.select("id", hashes(F.col("line"), every=every).alias("own"))
             face = chunk.join(sets, "id").groupBy("key", "chunk").agg(F.collect_list(F.struct("root", "own")).alias("face"))  # CHUNK or so
             met = C.settled(every.hint("merge").join(sets, "id").select("key", "chunk", "root", "own")).join(face, ["key", "chunk"])
             both = lambda h: F.size(F.array_intersect(h["own"], "own"))

@@ -52,9 +52,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.train(docs, C.load(spark, sf_dir, "labels")))
 
 
+def op2_line_dedup_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles at every character of a line; tests hold it against brute force."""
+    return line_dedup.line_components(C.load(spark, sf_dir, "documents"), every=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_store, op2_line_dedup, op3_quality_rules, op4_token_counts, op5_decontamination, op6_substring_dedup, op7_near_dedup, op8_mixing, op9_sharding, op10_quality_classifier)
+    for f in (op1_token_store, op2_line_dedup, op3_quality_rules, op4_token_counts, op5_decontamination, op6_substring_dedup, op7_near_dedup, op8_mixing, op9_sharding, op10_quality_classifier, op2_line_dedup_every)
 }
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"

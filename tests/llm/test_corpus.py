@@ -179,6 +179,35 @@ def test_line_dedup_is_brute_force(docs, rows):
         assert rest[doc_id] == (None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if (doc_id, k) not in gone))
 
 
+def test_line_dedup_reads_every_character(spark, docs, rows, tmp_path):
+    from passage_engine.llm.queries import QUERIES
+
+    extra = ["https://a.example/first/page/of/many", "https://b.example/other/things", "Invoice: 1000000012", "Invoice: 9876543210", "2024-01-01T00:00:00Z-started", "2024-01-01T23:59:59Z-stopped"]
+    extra += ["東京都千代田区丸の内一丁目九番一号", "東京都千代田区丸の内二丁目四番一号で会いましょう", "short", "short", "x" * 40 + "abcdefghijklmnopqrstuvwxyz" * 3, "x" * 40 + "abcdefghijklmnopqrstuvwxyz" * 3 + "!", "𝔘𝔫𝔦𝔠𝔬𝔡𝔢", "𝔘𝔫𝔦𝔠𝔬𝔡𝔢𝔰 𝔥𝔢𝔯𝔢"]
+    texts = {r[0]: r[1] for r in rows} | {10_000 + k: x for k, x in enumerate(extra)}
+    added = spark.createDataFrame([(10_000 + k, x) for k, x in enumerate(extra)], "doc_id long, text string")
+    docs.unionByName(added, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    first = {}
+    for doc_id in sorted(texts):
+        for k, line in enumerate(texts[doc_id].split("\n") if texts[doc_id] is not None else []):
+            if split(line):
+                first.setdefault(line, (doc_id, k))
+    sets = {x: {x[k : k + 8] for k in range(max(1, len(x) - 7))} for x in first}
+    order = sorted(first, key=first.get)
+    root = {x: x for x in order}
+    for i, a in enumerate(order):
+        for b in order[:i]:
+            small, large = sorted((len(sets[a]), len(sets[b])))
+            if root[a] != root[b] and 100 * small >= 80 * large and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]), key=first.get)
+                root = {k: x if v == y else v for k, v in root.items()}
+    found = {(r["doc_id"], r["line_no"]): r for r in QUERIES["op2_line_dedup_every"](spark, str(tmp_path)).collect()}
+    assert len(found) == sum(bool(split(x)) for t in texts.values() if t is not None for x in t.split("\n"))
+    for (doc_id, k), r in found.items():
+        assert (r["rep_doc_id"], r["rep_line_no"]) == first[root[texts[doc_id].split("\n")[k]]] and r["kept"] == ((doc_id, k) == (r["rep_doc_id"], r["rep_line_no"]))
+    assert [found[10_000 + k, 0]["kept"] for k in range(len(extra))] == [True] * 9 + [False, True, False, True, True]
+
+
 def test_line_dedup_of_nothing(empty):
     assert line_dedup.line_components(empty).count() == 0
 
