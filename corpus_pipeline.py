@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the least doc_id; one of repeated rows."""
-    return near_dedup.keep_first(docs)
+    """One document of each group of near duplicates by 5-word shingles: that with the least doc_id; one of repeated rows."""
+    return near_dedup.keep_first(docs, size=5)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """MinHash near-duplicate groups by one-permutation hashing.
 
-1. Each text becomes its set of 2-word shingles (ASCII letters folded), one permutation of which is cut into
+1. Each text becomes its set of ``size``-word shingles (ASCII letters folded; fewer words make one), one permutation of which is cut into
    ``BANDS * ROWS`` bins; empty bins are filled by optimal densification (each probes bins in a fixed pseudorandom
    order until it meets a full one). Texts with equal sets collapse to their least doc_id.
 2. Bins are read in bands; equal bands put sets into a bucket. A bucket's least id is the hub of a star: its edges

@@ -462,3 +462,26 @@ def test_pipeline_stages(spark, docs, sf, empty):
             assert k == 4 or own.columns == docs.columns
         assert own.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_pipeline_near_duplicates_by_five_words(spark, sf):
+    import corpus_pipeline
+
+    docs = C.load(spark, sf, "documents")
+    base = prose(random.Random(8), 100).split()
+    near, far = base.copy(), base.copy()
+    near[50] = "changed"
+    for k in (10, 25, 40, 55, 70):
+        far[k] = f"v{k}"
+    added = spark.createDataFrame([(900_001, " ".join(base)), (900_002, " ".join(near)), (900_003, " ".join(far))], "doc_id long, text string")
+    docs = C.pin(docs.unionByName(added, allowMissingColumns=True), "docs")
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, t in texts.items() for w in [[x.translate(str.maketrans(C.UPPER, C.LOWER)) for x in split(t)]]}
+    comp = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                lo, hi = sorted((comp[a], comp[b]))
+                comp = {i: lo if c == hi else c for i, c in comp.items()}
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf).collect()}
+    assert kept == {*comp.values()} and {900_001, 900_003} <= kept and 900_002 not in kept
