@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -66,3 +67,10 @@ def retrieve_vectors(vectors: DataFrame, questions: DataFrame, k: int) -> DataFr
     pairs = vectors.crossJoin(questions)
     scored = pairs.select("question_idx", *OWN, "chunk_ord", F.round(cosine(F.col("embedding"), F.col("vector"), F.col("norm"), F.col("vector_norm")), DIGITS).alias("score"))
     return top_k(scored, ["question_idx", *OWN], k).select("question_idx", *OWN, "rank", "score", "chunk_ord")
+
+
+def retrieve_in_blocks(vectors: DataFrame, questions: DataFrame, k: int, block: int = 1_000) -> DataFrame:
+    """``retrieve_vectors`` for any number of ``questions``: blocks of about ``block``, dealt by a hash of question_idx, each held against all vectors in turn."""
+    blocks = max(1, -(-questions.count() // block))
+    dealt = [questions.where(F.pmod(F.xxhash64("question_idx"), F.lit(blocks)) == n) for n in range(blocks)]
+    return reduce(DataFrame.unionByName, [retrieve_vectors(vectors, own, k) for own in dealt])

@@ -289,6 +289,15 @@ def retrieve_dense_cosine(spark, sf):
     return dense.retrieve_vectors(vectors, asked, D.top_k)
 
 
+@query()
+def retrieve_dense_cosine_hundreds(spark, sf):
+    """Every vector whose vec_id is divisible by 100 against all vectors; tests hold it against brute force."""
+    own = _table(spark, sf, "embeddings")
+    vectors = own.select(F.lit("vectors").alias("collection_id"), F.lit("semantic").alias("pipeline"), F.col("vec_id").cast("int").alias("chunk_ord"), "embedding", dense.norm(F.col("embedding")).alias("norm"))
+    asked = own.where("vec_id % 100 = 0").select(F.col("vec_id").cast("int").alias("question_idx"), F.col("embedding").alias("vector"), dense.norm(F.col("embedding")).alias("vector_norm"))
+    return dense.retrieve_in_blocks(vectors, asked, D.top_k)
+
+
 @query()
 def embed_and_retrieve(spark, sf):
     """Chunks and questions embedded by the deterministic stand-in for a sentence model."""

@@ -352,3 +352,23 @@ def test_plans_stay_in_the_jvm(spark, sf):
     cut, found = plan("chunk_structure"), plan("retrieve_tfidf_structure")
     assert "ReadSchema: struct<doc_id:bigint,text:string,source:string>" in cut and "WindowGroupLimit" in found
     assert not any("Python" in x or "Pandas" in x or "Arrow" in x for x in (cut, found))
+
+
+def test_dense_search_asks_every_hundredth_vector(spark, sf):
+    import numpy as np
+
+    from passage_engine.operators import dense
+    from passage_engine.queries import QUERIES
+
+    own = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, m = np.array([r[0] for r in own]), np.array([r[1] for r in own], float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want = set()
+    for i in np.flatnonzero(ids % 100 == 0):
+        score = np.round(m @ m[i], 6)
+        want |= {(int(ids[i]), rank + 1, int(ids[j])) for rank, j in enumerate(np.lexsort((ids, -score))[:6])}
+    found = QUERIES["retrieve_dense_cosine_hundreds"](spark, sf).collect()
+    assert len(found) == len(want) and {(r["question_idx"], r["rank"], r["chunk_ord"]) for r in found} == want
+    vectors = spark.createDataFrame([("c", "p", k, [float(k), 1.0], (k * k + 1.0) ** 0.5) for k in range(9)], "collection_id string, pipeline string, chunk_ord int, embedding array<float>, norm double")
+    asked = vectors.select(F.col("chunk_ord").alias("question_idx"), F.col("embedding").alias("vector"), F.col("norm").alias("vector_norm"))
+    assert sorted(map(tuple, dense.retrieve_in_blocks(vectors, asked, 3, 2).collect())) == sorted(map(tuple, dense.retrieve_vectors(vectors, asked, 3).collect()))
