@@ -275,6 +275,13 @@ def retrieve_zero_fill(spark, sf):
     return engine.search(_fixed(spark, sf), _questions(spark, sf).where("question_idx < 5").unionByName(unknown), 9)
 
 
+@query(f"WITH {FIXED}, {INDEX}, {_search(BENCH + ''' UNION ALL SELECT -1, 'zzqqx unknownish the of and'  ''', 9)} SELECT {HITS} FROM hits")
+def retrieve_zero_fill_all(spark, sf):
+    """All questions and one without a known term, whose number no question has."""
+    unknown = spark.createDataFrame([(-1, "zzqqx unknownish the of and")], "question_idx int, question string")
+    return engine.search(_fixed(spark, sf), _questions(spark, sf).unionByName(unknown), 9)
+
+
 # ---------------------------------------------------------------- dense index
 
 

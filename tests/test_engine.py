@@ -372,3 +372,11 @@ def test_dense_search_asks_every_hundredth_vector(spark, sf):
     vectors = spark.createDataFrame([("c", "p", k, [float(k), 1.0], (k * k + 1.0) ** 0.5) for k in range(9)], "collection_id string, pipeline string, chunk_ord int, embedding array<float>, norm double")
     asked = vectors.select(F.col("chunk_ord").alias("question_idx"), F.col("embedding").alias("vector"), F.col("norm").alias("vector_norm"))
     assert sorted(map(tuple, dense.retrieve_in_blocks(vectors, asked, 3, 2).collect())) == sorted(map(tuple, dense.retrieve_vectors(vectors, asked, 3).collect()))
+
+
+def test_zero_fill_asks_every_question(spark, sf):
+    from passage_engine.queries import QUERIES
+
+    items = {r[0] for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id").collect()}
+    found = QUERIES["retrieve_zero_fill_all"](spark, sf).select("question_idx").distinct().collect()
+    assert {r[0] for r in found} == items | {-1}
