@@ -1,7 +1,7 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search.
+"""Benchmark decontamination: containment search by an exact bottom-k filter for each item.
 
 A test item is the set of its 5-word shingles (ASCII letters folded); an item of fewer words is its whole word
-sequence. Items are partitioned by set size. In the partition of sizes up to u, an item is sketched by its
+sequence. Items are not partitioned by set size and documents get no MinHash signature: an item is sketched by its
 ``floor((1 - threshold) * size) + 1`` least shingle hashes: a document that holds ``threshold`` of an item can't
 miss all of them, so any size of document, however long, finds every such item by at least one sketch hash, and
 the sketch stays small for the short items. Candidates are verified by exact containment of word tuples.
@@ -31,7 +31,7 @@ PAIRS = "doc_id long, item_id long, n_shingles long, n_shared long"
 
 
 class Items:
-    """One block of items: sketches by size partition, and the exact shingles."""
+    """One block of items: sketches by run length, and the exact shingles."""
 
     def __init__(self, rows: list[tuple[int, str | None]], size: int, threshold: float):
         self.size = size
