@@ -10,7 +10,8 @@
    so no link is lost to the star.
 4. Distributed union-find gives components; of each, the occurrence with the least (doc_id, line number) is kept.
 
-A pair of similarity 0.8 misses all bands with probability (1 - 0.8**3)**10 < 0.001, one of 0.9 below 3e-6.
+The bands read one permutation, so in short lines they coincide and aren't independent. Simulated (20,000 pairs each), no
+band is shared, and the link may be lost, for 4 shared shingles of 5 in 1.8 %, 5 of 6 in 0.2 %, 8 of 10 in 0.2 %, 12 of 15 in 0.03 %.
 Characters of a word past the ``CHARS``-th are in no such shingle, so lines that differ only there are one. With ``every``
 shingles start at every character (a shorter line is one shingle), so every character of a line is read.
 Lines without a word are always kept and belong to no component. Null texts have no lines. Null doc_ids come
