@@ -56,8 +56,8 @@ class Engine:
         chunks = chunking.numbered(chunking.all_classic(pages, self.defaults))
         sparse.require_terms(chunks.select(F.explode(T.terms(F.col("text"))).alias("term")))
         writers.store(chunks, self.data, "chunks", ["chunk_ord"])
-        collections = [r[0] for r in pages.select("collection_id").distinct().limit(1000).collect()]
-        kept = readers.chunk_store(self.spark, self.data).where(F.col("collection_id").isin(collections) & F.col("pipeline").isin(*CLASSIC))
+        collections = tables.pin(pages.select("collection_id").distinct(), "collections")
+        kept = readers.chunk_store(self.spark, self.data).where(F.col("pipeline").isin(*CLASSIC)).join(collections, "collection_id", "left_semi")
         tf = tables.pin(sparse.term_frequency(kept), "tf")
         stats = sparse.term_stats(tf, kept)
         writers.store(stats, self.data, "term_stats", ["term"])
@@ -68,7 +68,7 @@ class Engine:
                 self._ingest_dense(pages, name, embedder)
             except Exception as e:
                 failed[name] = str(e)
-        done = evaluation.status(readers.chunk_store(self.spark, self.data).where(F.col("collection_id").isin(collections)))
+        done = evaluation.status(readers.chunk_store(self.spark, self.data).join(collections, "collection_id", "left_semi"))
         notes = self.spark.createDataFrame([(k, v) for k, v in failed.items()], "pipeline string, error string")
         return done.withColumn("error", F.lit(None).cast("string")).unionByName(notes, allowMissingColumns=True)
 

@@ -380,3 +380,14 @@ def test_zero_fill_asks_every_question(spark, sf):
     items = {r[0] for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id").collect()}
     found = QUERIES["retrieve_zero_fill_all"](spark, sf).select("question_idx").distinct().collect()
     assert {r[0] for r in found} == items | {-1}
+
+
+def test_ingest_indexes_every_collection(spark, tmp_path, monkeypatch):
+    """A cap on the collections, however large, is met here by two."""
+    pages = spark.createDataFrame([(c, "f", 1, f"The {c} sleeps under warm blankets.") for c in ("cat", "dog", "owl")], "collection_id string, source_file string, page int, text string")
+    whole = type(pages).limit
+    monkeypatch.setattr(type(pages), "limit", lambda self, n: whole(self, min(n, 2)))
+    own = Engine(spark, str(tmp_path / "data"))
+    assert {r["collection_id"] for r in own.ingest_pages(pages).collect()} == {"cat", "dog", "owl"}
+    for name in ("term_stats", "postings"):
+        assert {r[0] for r in spark.read.parquet(f"{own.data}/{name}").select("collection_id").distinct().collect()} == {"cat", "dog", "owl"}
