@@ -12,7 +12,8 @@ Layout of a store (all Parquet; binary columns are little-endian)::
     recipes/       doc_id, start, n_tokens, keys (16 bytes a chunk), lens (uint32 a chunk), root
     manifest/      first, last, docs, tokens, root     a row for each run of recipes
 
-Bounds: a task holds one slice of texts, the digests of the chunks it has sent, and one Arrow batch.
+Bounds: a task holds one slice of texts, 200,000 digests of chunks it has sent, and one Arrow batch; a worker also
+``WordTable.LIMIT`` strings with their ids.
 Nulls and empty texts: the end id alone. Repeated rows and repeated doc_ids: each row is a document of its own,
 ordered by (doc_id, root), nulls first. Other columns are not read.
 """
@@ -20,6 +21,7 @@ ordered by (doc_id, root), nulls first. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -50,98 +52,184 @@ def _tokenizer(name: str):
 
 
 #: Marks that never belong to a letter run or a contraction.
-MARKS = b".,;:!?*$%&#|)]}"
-#: Texts that go to the library whole: with combining marks or what lies beyond them, the one letter that folds to a mark, other spaces, or the start of a special string.
-ODD = r"[\x{0130}\x{0300}-\x{10ffff}\x{85}\x{a0}]|<\|"
+MARKS = ".,;:!?*$%&#|)]}"
+#: What the word-wise path below relies on, as the tokenizer's own file states it; fixed values.
+SPLITS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+    "rest": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+}
+
+
+def splits_at_spaces(tokenizer) -> bool:
+    """Whether the tokenizer's file says that a text's ids are those of its white-space-free strings in a row."""
+    own = json.loads(tokenizer.to_str())
+    pre = own["pre_tokenizer"] or {}
+    steps = pre.get("pretokenizers") or [{}, {}]
+    cut = steps[0].get("type") == "Split" and steps[0].get("pattern") == SPLITS["pattern"] and (steps[0].get("behavior"), steps[0].get("invert")) == ("Removed", True)
+    plain = own["post_processor"] is None and own["truncation"] is None and own["padding"] is None
+    return plain and own["normalizer"] == SPLITS["normalizer"] and cut and steps[1:] == [SPLITS["rest"]] and all(t["content"].startswith("<|") for t in own["added_tokens"])
+
+
+def odd_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows of UTF-8 texts that go to the library whole: with combining marks or what lies beyond them (lead bytes from
+    0xCC), the one letter that folds to a mark (U+0130), other spaces (U+0085, U+00A0) or the start of a special string."""
+    at = [np.flatnonzero(data >= 0xCC)]
+    for lead, nexts in ((0xC4, (0xB0,)), (0xC2, (0x85, 0xA0)), (ord("<"), (ord("|"),))):
+        found = np.flatnonzero(data[:-1] == lead)
+        at.append(found[np.isin(data[found + 1], nexts)])
+    rows = np.searchsorted(offsets, np.concatenate(at), "right") - 1
+    return np.unique(rows[(rows >= 0) & (rows < len(offsets) - 1)])
+
+
+def strings_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a string array without nulls."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), offsets
+
+
+class WordTable:
+    """Ids of strings, found by two independent 64-bit hashes of their bytes; about 30 bytes a string.
+
+    A hash is a sum over bytes of a random number for the byte times a random odd number for its place, so strings
+    fall together with a chance of about 2**-120 a pair. Strings over ``MOST`` bytes aren't kept.
+    """
+
+    MOST, LIMIT = 48, 2_000_000
+    _r = np.random.default_rng(20_240_229)
+    BYTE = _r.integers(0, 1 << 64, (2, 256), np.uint64)
+    PLACE = _r.integers(0, 1 << 64, (2, MOST + 1), np.uint64) | np.uint64(1)
+
+    def __init__(self):
+        self.key, self.check, self.at = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint32)
+        self.flat, self.ends = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.uint32)
+        self.n = 0
+
+    def hashes(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Both hashes of each string of at most ``MOST`` bytes (others: of its first bytes, not to be used)."""
+        data, offsets = strings_of(column)
+        n = np.minimum(np.diff(offsets), self.MOST).astype(np.int64)
+        starts = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(starts, n)
+        own = data[np.repeat(offsets[:-1], n) + place]
+        out, full = [], n > 0
+        for k in range(2):
+            h = self.PLACE[k][self.MOST] * n.astype(np.uint64)
+            if full.any():
+                h[full] += np.add.reduceat(self.BYTE[k][own] * self.PLACE[k][place], starts[full])
+            out.append(C.mix(h))
+        return out[0], out[1]
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of known strings, and which are known."""
+        if not len(self.key):
+            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        order = np.argsort(key)  # in order, neighbours look in the same places
+        k = np.empty(len(key), np.int64)
+        k[order] = np.minimum(np.searchsorted(self.key, key[order]), len(self.key) - 1)
+        return self.at[k].astype(np.int64), (self.key[k] == key) & (self.check[k] == check)
+
+    def put(self, n: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Keep id lists of these lengths; their numbers."""
+        used = int(self.ends[self.n])
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while self.n + len(n) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[used : used + len(ids)] = ids
+        self.ends[self.n + 1 : self.n + len(n) + 1] = used + np.cumsum(n)
+        self.n += len(n)
+        return np.arange(self.n - len(n), self.n)
+
+    def name(self, key: np.ndarray, check: np.ndarray, at: np.ndarray) -> None:
+        """Strings of these hashes have these numbers from now on."""
+        order = np.argsort(key, kind="stable")
+        key, check, at = key[order], check[order], at[order].astype(np.uint32)
+        to = np.searchsorted(self.key, key)
+        self.key, self.check, self.at = np.insert(self.key, to, key), np.insert(self.check, to, check), np.insert(self.at, to, at)
+
+    def lists(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the strings of these numbers in a row, and where each ends, from 0."""
+        first = self.ends[at].astype(np.int64)
+        n = self.ends[at + 1] - first
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return self.flat[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])], ends
 
 
 class WordEncoder:
     """Ids of texts by the library, one call for each distinct white-space-free string.
 
-    This tokenizer drops white space before it splits, composes and lower-cases each character by itself, and has
-    no merge over a gap, so a text's ids are those of its strings in a row. Texts with characters beyond those of
-    plain composed scripts, or with the tokenizer's special strings, go to the library whole.
+    A tokenizer that drops white space before it splits, composes and lower-cases each character by itself, and has
+    no merge over a gap gives a text the ids of its strings in a row; ``splits_at_spaces`` holds its file against that.
+    Texts with characters beyond those of plain composed scripts, or with special strings, go to the library whole,
+    as do all texts of any other tokenizer.
     """
 
-    LIMIT = 700_000
-
     def __init__(self, name: str):
         self.tokenizer = _tokenizer(name)
-        if not all(t.content.startswith("<|") for t in self.tokenizer.get_added_tokens_decoder().values()):
-            raise ValueError("this tokenizer has other special strings")
-        self.reset()
-
-    def reset(self) -> None:
-        #: Numbers of the strings; the ids of string k are flat[start[k] : start[k] + length[k]].
-        self.known = _Numbers()
-        self.flat, self.start, self.length, self.used = np.empty(1 << 21, np.uint32), np.empty(1 << 19, np.int64), np.empty(1 << 19, np.int64), 0
-
-    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text of a string array without nulls."""
-        if len(self.known) > self.LIMIT:
-            self.reset()
-        odd = pc.match_substring_regex(texts, ODD)
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(odd, "", texts)))  # ASCII letters only, which the tokenizer folds too
+        self.by_word = splits_at_spaces(self.tokenizer)
+        self.table = WordTable()
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a string array without nulls in a row, and where each text's begin (one more entry than texts)."""
+        odd = odd_rows(*strings_of(texts)) if self.by_word else np.arange(len(texts))
+        at_odd = np.zeros(len(texts), bool)
+        at_odd[odd] = True
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(pa.array(at_odd), "", texts)))  # ASCII letters only, which the tokenizer folds too
         coded = lists.flatten().dictionary_encode()
-        own = np.fromiter(map(self.known.__getitem__, coded.dictionary.cast(pa.binary()).to_pylist()), np.int64, len(coded.dictionary))
-        if self.known.new:
-            self._learn()
-        ids, ends = self._ids(own[coded.indices.to_numpy()])
+        ids, ends = self._of(coded.dictionary, coded.indices.to_numpy())
         cuts = ends[lists.offsets.to_numpy()]
-        out = [ids[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
-        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
-            out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
-        return out
-
-    def _learn(self) -> None:
-        """Ids of the strings seen for the first time, in order of their numbers."""
-        known, number = self.known, self.known.__getitem__
+        if not len(odd):
+            return ids, cuts
+        extra = [self.whole(texts[int(k)].as_py()) for k in odd]
+        parts, at = [], 0
+        for k, x in zip(odd.tolist(), extra, strict=True):
+            parts += [ids[at : cuts[k]], x]
+            at = cuts[k]
+        n = np.diff(cuts)
+        n[odd] += [len(x) for x in extra]
+        return np.concatenate([*parts, ids[at:]]), np.concatenate([[0], np.cumsum(n)])
+
+    def _of(self, words: pa.Array, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.table.n > self.table.LIMIT:
+            self.table = WordTable()
+        return self.table.lists(self._numbers(words, True)[index])
+
+    def _numbers(self, words: pa.Array, split: bool) -> np.ndarray:
+        """Numbers of distinct strings; those seen for the first time are encoded and kept."""
+        key, check = self.table.hashes(words)
+        at, known = self.table.find(key, check)
+        long = pc.binary_length(words).to_numpy() > self.table.MOST
+        new = np.flatnonzero(~known | long)
+        if not len(new):
+            return at
+        fresh = words.take(pa.array(new))
         # marks after a letter are a piece of their own: what stands before them is encoded once for all its endings
-        whole, joined, stems, marks = [], [], [], []
-        for w in known.new:
-            if w and w[-1] in MARKS and (stem := w.rstrip(MARKS)) and stem.decode()[-1].isalpha():
-                joined.append(w)
-                stems.append(stem)
-                marks.append(w[len(stem) :])
-            else:
-                whole.append(w)
-        known.new = []
-        stems, marks = list(map(number, stems)), list(map(number, marks))
-        whole += known.new
-        known.new = []
-        if grow := len(known) - len(self.start):
-            self.start, self.length = (np.concatenate([x, np.empty(max(len(x), grow), np.int64)]) if grow > 0 else x for x in (self.start, self.length))
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)]
+        stems = pc.ascii_rtrim(fresh, characters=MARKS) if split else fresh
+        n_stem, n_all = pc.binary_length(stems).to_numpy(), pc.binary_length(fresh).to_numpy()
+        apart = (n_stem < n_all) & pc.match_substring_regex(stems, r"\pL$").to_numpy(zero_copy_only=False)
+        if apart.any():
+            at_apart = np.flatnonzero(apart)
+            marks = pa.array([w[k:] for w, k in zip(fresh.take(pa.array(at_apart)).to_pylist(), pc.utf8_length(stems.take(pa.array(at_apart))).to_pylist(), strict=True)], pa.string())
+            pairs = []
+            for part in (stems.take(pa.array(at_apart)), marks):
+                coded = part.dictionary_encode()
+                pairs.append(self._numbers(coded.dictionary, False)[coded.indices.to_numpy()])
+            ids, ends = self.table.lists(np.stack(pairs, 1).ravel())
+            at[new[at_apart]] = self.table.put(np.diff(ends).reshape(-1, 2).sum(1), ids)
+        rest = np.flatnonzero(~apart)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh.take(pa.array(rest)).to_pylist(), add_special_tokens=False)]
         n = np.fromiter(map(len, found), np.int64, len(found))
-        self._put(np.fromiter(map(number, whole), np.int64, len(whole)), n, np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())))
-        pairs = np.array([stems, marks], np.int64).T.ravel()
-        self._put(np.fromiter(map(number, joined), np.int64, len(joined)), self.length[pairs].reshape(-1, 2).sum(1), self._ids(pairs)[0])
-
-    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the strings of these numbers in a row, and where each ends, from 0."""
-        n = self.length[at]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        return self.flat[np.repeat(self.start[at] - ends[:-1], n) + np.arange(ends[-1])], ends
-
-    def _put(self, at: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[at], self.length[at] = self.used + np.cumsum(n) - n, n
-        self.used += len(ids)
-
-
-class _Numbers(dict):
-    """Gives each string the next number; ``new`` has those not encoded yet."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self)
-        self.new.append(word)
-        return value
+        at[new[rest]] = self.table.put(n, np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())))
+        kept = new[~long[new]]
+        if split:  # a stem may be one of these strings itself and be kept by now
+            kept = kept[~self.table.find(key[kept], check[kept])[1]]
+        self.table.name(key[kept], check[kept], at[kept])
+        return at
 
 
 @lru_cache(1)
@@ -150,13 +238,17 @@ def _encoder(name: str) -> WordEncoder:
     return WordEncoder(name)
 
 
-def cut(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream: content-defined, ``LEAST`` to ``MOST`` ids long but for the last."""
+def marks_of(ids: np.ndarray) -> np.ndarray:
+    """Where in a run of ids a chunk may end: after each window whose hash falls in one class of ``MEAN - LEAST``."""
+    return np.flatnonzero(C.windows(ids.astype(np.uint64), WINDOW, 0xD1342543DE82EF95) % np.uint64(MEAN - LEAST) == 0) + WINDOW
+
+
+def cut(ids: np.ndarray, marks: np.ndarray | None = None) -> list[int]:
+    """Ends of the chunks of one id stream: content-defined, ``LEAST`` to ``MOST`` ids long but for the last. ``marks``: those of ``ids``."""
     n = len(ids)
     if n <= LEAST:
         return [n]
-    h = C.windows(ids.astype(np.uint64), WINDOW, 0xD1342543DE82EF95)
-    marks = np.flatnonzero(h % np.uint64(MEAN - LEAST) == 0) + WINDOW
+    marks = marks_of(ids) if marks is None else marks
     ends, at = [], 0
     while n - at > LEAST:
         k = int(np.searchsorted(marks, at + LEAST))
@@ -168,50 +260,83 @@ def cut(ids: np.ndarray) -> list[int]:
     return ends
 
 
+class Merkle:
+    """Root of the binary hash tree over leaves that come one by one; an odd last node moves up as it is. Keeps a node a level."""
+
+    def __init__(self):
+        self.nodes: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        node = (0, hashlib.sha256(b"\0" + leaf).digest())
+        while self.nodes and self.nodes[-1][0] == node[0]:
+            node = (node[0] + 1, hashlib.sha256(b"\1" + self.nodes.pop()[1] + node[1]).digest())
+        self.nodes.append(node)
+
+    def root(self) -> bytes:
+        if not self.nodes:
+            return hashlib.sha256(b"").digest()
+        out = self.nodes[-1][1]
+        for _, node in reversed(self.nodes[:-1]):
+            out = hashlib.sha256(b"\1" + node + out).digest()
+        return out
+
+
 def merkle(leaves: list[bytes]) -> bytes:
-    """Root of the binary hash tree over ``leaves``; an odd last node moves up as it is."""
-    level = [hashlib.sha256(b"\0" + x).digest() for x in leaves] or [hashlib.sha256(b"").digest()]
-    while len(level) > 1:
-        level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+    if len(leaves) == 1:
+        return hashlib.sha256(b"\0" + leaves[0]).digest()
+    tree = Merkle()
+    for x in leaves:
+        tree.add(x)
+    return tree.root()
 
 
 def encoder(tokenizer: str, end_id: int, width: int):
     kind = np.uint16 if width == 2 else np.uint32
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, sent, end = _encoder(tokenizer), set(), np.array([end_id], np.uint32)
-        for batch in C.text_blocks(batches, limit=8 << 20):
-            rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), ids_of(pc.fill_null(batch.column("text"), "")), strict=True):
-                ids = np.concatenate([ids, end])
-                data, keys, lens, at = ids.astype(kind).tobytes(), [], [], 0
-                for to in cut(ids):
-                    payload = data[at * width : to * width]
-                    keys.append(key := hashlib.blake2b(payload, digest_size=16).digest())
-                    lens.append(to - at)
-                    if key not in sent:  # once for each task; the shuffle brings together what tasks share
-                        if len(sent) > 1_000_000:
+        ids_of, sent = _encoder(tokenizer), set()
+        for batch in C.text_blocks(batches, limit=4 << 20):
+            ids, starts = ids_of(pc.fill_null(batch.column("text"), ""))
+            ids = np.insert(ids, starts[1:], end_id)
+            starts = starts + np.arange(len(starts))
+            data, marks = memoryview(ids.astype(kind).tobytes()), marks_of(ids)
+            first = np.searchsorted(marks, starts[:-1] + WINDOW).tolist()  # marks before are of windows that reach into the text before
+            last = np.searchsorted(marks, starts[1:], "right").tolist()
+            keys, ns, payloads = [], [], []
+            docs, totals, names, lens, roots, routes = batch.column("doc_id").to_pylist(), np.diff(starts), [], [], [], []
+            for doc, a, b, i, j in zip(docs, starts.tolist(), starts[1:].tolist(), first, last, strict=False):
+                own, sizes, at = [], [], a
+                for to in cut(range(b - a), marks[i:j] - a):
+                    payload = data[at * width : (a + to) * width]
+                    own.append(key := hashlib.blake2b(payload, digest_size=16).digest())
+                    sizes.append(a + to - at)
+                    if key not in sent:  # once for each task, as far as it remembers; the shuffle brings together what is sent again
+                        if len(sent) > 200_000:
                             sent.clear()
                         sent.add(key)
-                        rows.append((0, key, key, to - at, payload, None, None, None, None))
-                    at = to
-                root = merkle(keys)
-                rows.append((1, hashlib.blake2b(root + str(doc).encode(), digest_size=16).digest(), None, len(ids), None, doc, b"".join(keys), np.array(lens, "<u4").tobytes(), root))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _RAW, strict=True)], schema=_RAW)
+                        keys.append(key)
+                        ns.append(a + to - at)
+                        payloads.append(payload)
+                    at = a + to
+                names.append(b"".join(own))
+                lens.append(np.array(sizes, "<u4").tobytes())
+                roots.append(merkle(own))
+                routes.append(hashlib.blake2b(roots[-1] + str(doc).encode(), digest_size=16).digest())
+            m, n = len(keys), len(docs)
+            none = lambda k, kind: pa.nulls(k, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(keys, pa.binary()), pa.array(keys, pa.binary()), pa.array(ns, pa.int64()), pa.array(payloads, pa.binary()), *(none(m, f.type) for f in list(_RAW)[5:])], schema=_RAW)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(routes, pa.binary()), none(n, pa.binary()), pa.array(totals), none(n, pa.binary()), batch.column("doc_id"), pa.array(names, pa.binary()), pa.array(lens, pa.binary()), pa.array(roots, pa.binary())], schema=_RAW)
 
     return encode
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of one partition, each once; recipes as they are."""
-    seen: set[bytes] = set()
+    """Chunks of one partition, in order of their keys, each once; recipes as they are."""
+    last = None
     for batch in batches:
-        keep = []
-        for key in batch.column("key").to_pylist():
-            keep.append(key is None or key not in seen)
-            if key is not None:
-                seen.add(key)
+        keys = batch.column("key").to_pylist()
+        keep = [k is None or k != before for k, before in zip(keys, [last, *keys], strict=False)]
+        last = keys[-1] if keys else last
         yield batch.filter(pa.array(keep))
 
 
@@ -221,33 +346,40 @@ _RUN = pa.schema([("first", pa.int64()), ("last", pa.int64()), ("docs", pa.int64
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One manifest row for each recipe file; a partition has whole files, their recipes in order."""
-    now, roots, first, last, tokens = None, [], 0, 0, 0
+    now, tree, first, last, docs, tokens = None, None, 0, 0, 0, 0
+    done = lambda: pa.RecordBatch.from_arrays([pa.array([x]) for x in (first, last, docs, tokens, tree.root())], schema=_RUN)
     for batch in batches:
         for file, start, n, root in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "n_tokens", "root")), strict=True):
             if file != now:
-                if roots:
-                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (first, last, len(roots), tokens, merkle(roots))], schema=_RUN)
-                now, roots, first, tokens = file, [], start, 0
-            roots.append(root)
-            last, tokens = start, tokens + n
-    if roots:
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (first, last, len(roots), tokens, merkle(roots))], schema=_RUN)
+                if docs:
+                    yield done()
+                now, tree, first, docs, tokens = file, Merkle(), start, 0, 0
+            tree.add(root)
+            last, docs, tokens = start, docs + 1, tokens + n
+    if docs:
+        yield done()
+
+
+def _recipe_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest as the recipe files give it."""
+    ordered = spark.read.schema(RECIPES).parquet(f"{path}/recipes").withColumn("file", F.col("_metadata.file_path"))
+    runs = ordered.select("file", "start", "n_tokens", "root").repartition(C.n_partitions(spark), "file").sortWithinPartitions("file", "start")
+    return runs.mapInArrow(_runs, _MANIFEST)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, width: int = 2) -> str:
     """Encode ``docs`` (doc_id, text) into a store at ``path``; ``width``: bytes an id, 2 if every id is below 65,536."""
     spark = docs.sparkSession
+    C.bound_batches(spark)
     if width not in (2, 4) or width == 2 and max(_tokenizer(tokenizer).get_vocab_size(), end_id + 1) > 1 << 16:
         raise ValueError("ids don't fit in this width")
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encoder(tokenizer, end_id, width), RAW)
-    raw = raw.repartition(C.n_partitions(spark), "route").mapInArrow(_first_of_each, RAW).drop("route")
+    raw = raw.repartition(C.n_partitions(spark), "route").sortWithinPartitions("route").mapInArrow(_first_of_each, RAW).drop("route")
     raw.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/raw")
     recipes = _raw(spark, path, 1).select("doc_id", F.col("n").alias("n_tokens"), "keys", "lens", "root")
     placed = C.prefix_sums(recipes, "doc_id", {"n_tokens": "start"}, ties=["root"])
     placed.repartitionByRange(C.n_partitions(spark), "start").sortWithinPartitions("start").write.parquet(f"{path}/recipes")
-    ordered = spark.read.schema(RECIPES).parquet(f"{path}/recipes").withColumn("file", F.col("_metadata.file_path"))
-    runs = ordered.select("file", "start", "n_tokens", "root").repartition(C.n_partitions(spark), "file").sortWithinPartitions("file", "start")
-    runs.mapInArrow(_runs, _MANIFEST).write.parquet(f"{path}/manifest")
+    _recipe_runs(spark, path).write.parquet(f"{path}/manifest")
     return path
 
 
@@ -341,8 +473,11 @@ def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the stored chunks and recipes.
 
     Each chunk is read, held against its digest and reduced to the CRC-32 of its ids once, however often recipes
-    name it; a document's CRC-32 is composed from those of its chunks. Fails if a chunk is missing or altered.
+    name it; a document's CRC-32 is composed from those of its chunks. Fails if a chunk is missing or altered, or if
+    the recipes aren't those of the manifest.
     """
+    if (wrong := verify_manifest(spark, path).head()) is not None:
+        raise ValueError(f"manifest and recipes don't agree from position {wrong['first']} on")
     own = recipes(spark, path)
     pieces = own.select("start", "keys", "lens", "root").mapInArrow(_pieces, "start long, key binary, n long, after long")
     stored = chunks(spark, path).mapInArrow(_digests(width), "key binary, crc long, stored long")
@@ -368,13 +503,7 @@ def read_documents(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
 
 def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest rows whose Merkle root the recipes in their range don't give again; none in an intact store."""
-    m = manifest(spark, path)
-    per = recipes(spark, path).select("start", "root").join(F.broadcast(m.select("first", "last")), F.col("start").between(F.col("first"), F.col("last")))  # a row for each recipe file
-    again = per.groupBy("first").agg(F.sort_array(F.collect_list(F.struct("start", "root"))).alias("r"))
-
-    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("first"), pa.array([merkle([x["root"] for x in r]) for r in batch.column("r").to_pylist()], pa.binary())], ["first", "again"])
-
-    return m.join(again.mapInArrow(roots, "first long, again binary"), "first", "left").where(~F.col("root").eqNullSafe(F.col("again")))
+    """Runs of recipes on which the manifest and the recipe files don't agree (a row of either); none in an intact store."""
+    kept, found = manifest(spark, path), _recipe_runs(spark, path)
+    same = ["first", "last", "docs", "tokens", "root"]
+    return kept.join(found, same, "left_anti").unionByName(found.join(kept, same, "left_anti"))
