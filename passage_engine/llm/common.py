@@ -6,7 +6,7 @@ Every table that an operator reads more than once is *pinned*: written into the
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,31 @@ def words(text: Column) -> Column:
 # ---------------------------------------------------------------- blocks of texts in Python workers
 
 
+#: Bytes of rows that go to a Python worker at once, where the session allows more.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the batches sent to Python workers by bytes: by rows alone, long texts make them as large as they like.
+
+    Sets ``spark.sql.execution.arrow.maxBytesPerBatch`` in the session, if it is larger.
+    """
+    key, size = "spark.sql.execution.arrow.maxBytesPerBatch", spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if size(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Helper column names that none of ``columns`` has, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows with at most ``limit`` bytes of text (one row at least), to bound memory."""
     for batch in batches:
@@ -64,12 +89,14 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, kept for the words seen of late."""
+    """64-bit hashes of words, kept for the words seen of late that have at most ``MOST`` bytes."""
 
-    LIMIT = 400_000
+    LIMIT, MOST = 300_000, 64
 
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.MOST:
+            self[word] = value
         return value
 
     def of(self, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -198,48 +225,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     if labels is None:
         return left.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return labels.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
-# ---------------------------------------------------------------- links within buckets
-
-
-def bucket_components(member: DataFrame, confirmer: Callable[[DataFrame], tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]]) -> DataFrame:
-    """Components of the confirmed links within buckets, (node, root) as ``components`` gives them.
-
-    ``member`` has the distinct (key, id) of all buckets. ``confirmer`` gets the ids (id) that share a bucket with
-    another and returns two functions: one keeps the linked of candidate pairs (a, b); the other gets members
-    (key, id, root) of buckets with more than one component and returns links (a, b) between roots that join all
-    components linked within a bucket (see ``faces``).
-
-    A bucket's least id is the hub of a star, so there are no more candidates than members. Members still in
-    different components, hubs aside, then face each other, so that no link within a bucket is lost.
-    """
-    hubs = pin(member.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub < most").select("key", "hub"), "hubs")
-    multi = pin(member.join(hubs, "key"), "buckets")
-    pairs = pin(multi.where("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    confirm, cross = confirmer(multi.select("id").distinct())
-    links = pin(confirm(pairs), "links")
-    labels = components(links)
-    named = multi.where("id <> hub").select("key", "id").join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    named = pin(named, "rest")
-    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    named = pin(named.join(mixed, "key"), "open")
-    if named.isEmpty():
-        return labels
-    more = pin(cross(named), "links")
-    return labels if more.isEmpty() else components(links.unionByName(more))
-
-
-def faces(members: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """Members (key, id, root) of open buckets as chunks that face all members: two tables (key, chunk, id, root).
-
-    The first has each bucket's members outside its largest component, in chunks of about ``size``; the second has
-    all members once for each chunk. Whoever compares each chunk with its members meets every pair of different
-    components, and no pair is a row.
-    """
-    counts = members.groupBy("key", "root").agg(F.count("*").alias("n"))
-    most = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"))
-    chunks = F.ceil((F.col("all") - F.col("m.n")) / size).cast("int")
-    sized = members.join(pin(most.select("key", F.col("m.root").alias("most"), chunks.alias("chunks")), "most"), "key")
-    own = sized.where("root <> most").select("key", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "id", "root")
-    return own, sized.select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "root")

@@ -1,19 +1,15 @@
-"""Fuzzy line dedup, in DataFrame functions only.
-
-1. A line (texts are cut at newlines) becomes its set of character shingles: the ``CHARS`` characters from each word
-   start, so that an edit moves no shingle but those it touches. Shingles are hashed by one permutation and sorted;
-   the signature reads the ``ROWS`` least hashes after each of ``BANDS`` fixed pivots, round the end if need be.
-   Each run is a min-wise sample of the set, and its hash is a band's key.
-2. Equal lines collapse by a 128-bit hash; equal band keys put lines into a bucket, with star-shaped candidates.
-3. Candidates are verified by exact Jaccard similarity of the shingle strings (``PERCENT``). Members of a bucket left in
-   different components face each other in chunks of ``CHUNK`` inside array functions, by the shingles' 64-bit hashes,
-   so no link is lost to the star.
+"""Fuzzy line dedup by MinHash.
+
+1. A line (texts are cut at newlines) becomes its set of character shingles: all runs of ``CHARS`` characters, at every
+   place of the line; a shorter line is one shingle. Its signature has ``BANDS * ROWS`` MinHash values, each the least of
+   the shingle hashes under a permutation of its own (multiplication by an odd number), in ``BANDS`` bands.
+2. Equal lines collapse by a 128-bit hash; equal bands put lines into a bucket, with star-shaped candidates.
+3. Candidates are verified by the exact Jaccard similarity of their full sets (``PERCENT``); lines left in different
+   components of a bucket go on as ``similarity`` says, so no link within a bucket is lost to the star.
 4. Distributed union-find gives components; of each, the occurrence with the least (doc_id, line number) is kept.
 
-The bands read one permutation, so in short lines they coincide and aren't independent. Simulated (20,000 pairs each), no
-band is shared, and the link may be lost, for 4 shared shingles of 5 in 1.8 %, 5 of 6 in 0.2 %, 8 of 10 in 0.2 %, 12 of 15 in 0.03 %.
-Characters of a word past the ``CHARS``-th are in no such shingle, so lines that differ only there are one. With ``every``
-shingles start at every character (a shorter line is one shingle), so every character of a line is read.
+A pair of similarity 0.8 shares no band with a probability of (1 - 0.8**3)**10 < 0.001. Signatures and sets are made in
+Arrow batches: in array functions they cost about five times as much (README). The rest stays in DataFrame functions.
 Lines without a word are always kept and belong to no component. Null texts have no lines. Null doc_ids come
 first; equal rows are occurrences of the same line, so the first is kept (of equal (doc_id, line number), all).
 Other columns are not read.
@@ -21,58 +17,86 @@ Other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passage_engine.llm import common as C
+from passage_engine.llm import similarity
 
-CHARS, BANDS, ROWS, PERCENT, CHUNK = 8, 10, 3, 80, 64
+CHARS, BANDS, ROWS, PERCENT = 8, 10, 3, 80
 SPACE = r"\x20\x09-\x0D"
 
 
-def runs(line: Column, chars: int = CHARS, every: bool = False) -> Column:
-    """Runs of up to ``chars`` characters from each word start; with ``every``, of ``chars`` from every character, or the whole of a shorter line."""
-    if every:
-        # the lookahead takes the run, the dot goes on by one character
-        long = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{chars}}}))."), F.lit(1))
-        return F.when(F.length(line) < chars, F.array(line)).otherwise(long)
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{chars}}}))[^{SPACE}]++"), F.lit(1))
-
-
-def shingles(line: Column, chars: int = CHARS, every: bool = False) -> Column:
-    return F.array_distinct(runs(line, chars, every))
-
-
-def hashes(line: Column, chars: int = CHARS, every: bool = False) -> Column:
-    """64-bit hashes of the shingles; distinct numbers are found faster than distinct strings."""
-    return F.array_distinct(F.transform(runs(line, chars, every), lambda s: F.xxhash64(s)))
-
-
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line) of all lines with a word."""
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
     return cut.where(F.col("line").rlike(f"[^{SPACE}]"))
 
 
-def _signed(own: DataFrame, bands: int, rows: int, every: bool) -> DataFrame:
-    """Add the band keys to lines."""
-    step = (1 << 64) // bands
-    pivots = [k * step - (1 << 63) for k in range(bands)]
-    hashed = own.withColumn("__h", hashes(F.col("line"), every=every))
-    ordered = hashed.withColumn("__o", F.sort_array("__h"))
-    # a pivot's place among the hashes, less the pivots before it, is the number of hashes below it
-    placed = ordered.withColumn("__p", F.sort_array(F.concat("__o", F.array(*[F.lit(p) for p in pivots]))))
-    n = F.size("__o")
-    twice = placed.withColumn("__o", F.concat("__o", F.slice("__o", 1, rows)))
-    keys = [F.xxhash64(F.lit(k), F.slice("__o", (F.array_position("__p", F.lit(p)).cast("int") - 1 - k) % n + 1, rows)) for k, p in enumerate(pivots)]
-    return twice.withColumn("bands", F.array(*keys)).drop("__h", "__o", "__p")
-
-
-def line_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, every: bool = False) -> DataFrame:
+def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the strings of an array without nulls in a row, and where each string starts (one more entry)."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+    offsets = offsets - offsets[0]
+    if len(raw) == 0 or raw.max() < 128:
+        return raw.astype(np.uint64), offsets
+    before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    return np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64), before[offsets]
+
+
+def shingle_runs(column: pa.Array, chars: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of each string in order, repeats included, and where each string's start; '' has one as well."""
+    points, starts = characters(column)
+    n = np.diff(starts)
+    count = np.maximum(n - chars + 1, 1)
+    first = np.concatenate([[0], np.cumsum(count)])
+    at = np.arange(first[-1]) + np.repeat(starts[:-1] - first[:-1], count)
+    h = C.windows(points, chars)
+    out = h[np.minimum(at, len(h) - 1)] if len(h) else np.zeros(len(at), np.uint64)
+    for k in range(chars):
+        some = np.flatnonzero(n == k)
+        if len(some):
+            out[first[some]] = C.windows(points, k)[starts[some]] if k else 0
+    return out, first
+
+
+def shingler(chars: int = CHARS):
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        h, first = shingle_runs(column, chars)
+        return [np.unique(h[a:b]) for a, b in zip(first, first[1:], strict=False)]
+
+    return lambda: sets
+
+
+def signer(chars: int, bands: int, rows: int):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = C.mix(np.arange(1, bands + 1, dtype=np.uint64))
+        factors = (C.mix(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
+        for batch in C.text_blocks(batches, "line", 1 << 20):
+            h, first = shingle_runs(batch.column("line"), chars)
+            low, keys = (h >> np.uint64(32)).astype(np.uint32), []
+            for k in range(bands):
+                key = np.full(batch.num_rows, salt[k])
+                for f in factors[k * rows : (k + 1) * rows]:
+                    key = C.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(low * f, first[:-1]))
+                keys.append(pa.array(C.signed(key)))
+            names = ["doc_id", "line_no", "ha", "hb"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *keys], [*names, *(f"b{k}" for k in range(bands))])
+
+    return sign
+
+
+def line_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, chars: int = CHARS) -> DataFrame:
     """(doc_id, line_no, rep_doc_id, rep_line_no, kept) of every line with a word; the rep is the component's kept line."""
-    own = lines(docs)
-    keys = [F.xxhash64("line").alias("ha"), F.xxhash64(F.lit(11), "line").alias("hb")]
-    signed = C.pin(_signed(own, bands, rows, every).select(*keys, "doc_id", "line_no", *[F.col("bands")[k].alias(f"b{k}") for k in range(bands)]), "signed")
+    C.bound_batches(docs.sparkSession)
+    own = lines(docs).select("doc_id", "line_no", F.xxhash64("line").alias("ha"), F.xxhash64(F.lit(11), "line").alias("hb"), "line")
+    schema = "doc_id long, line_no int, ha long, hb long, " + ", ".join(f"b{k} long" for k in range(bands))
+    signed = C.pin(own.mapInArrow(signer(chars, bands, rows), schema), "signed")
     # (doc_id, line_no) as one number, which a hash aggregate can keep: null doc_ids below all others
     place = F.coalesce(F.col("doc_id").cast("decimal(30,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(30,0)")) * F.lit(1 << 32).cast("decimal(30,0)") + F.col("line_no")
     nodes = signed.groupBy("ha", "hb").agg(F.min(place.cast("decimal(38,0)")).alias("place"), *[F.min(f"b{k}").alias(f"b{k}") for k in range(bands)])
@@ -83,32 +107,12 @@ def line_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
     nodes = C.pin(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     member = nodes.select("id", F.explode(F.array(*[f"b{k}" for k in range(bands)])).alias("key")).select("key", "id")
 
-    def confirmer(ids: DataFrame):
+    def texts_of(ids: DataFrame) -> DataFrame:
         wanted = nodes.join(ids, "id", "left_semi").select("id", "ha", "hb", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("n"))
-        text = own.select("doc_id", "line_no", "line", *keys)
-        on = text["doc_id"].eqNullSafe(wanted["d"]) & (text["line_no"] == wanted["n"]) & (text["ha"] == wanted["ha"]) & (text["hb"] == wanted["hb"])
-        texts = C.pin(text.join(wanted, on).select("id", "line").dropDuplicates(["id"]), "lines")
-
-        def confirm(pairs: DataFrame) -> DataFrame:
-            a, b = texts.select(F.col("id").alias("a"), F.col("line").alias("la")), texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
-            sets = pairs.join(b, "b").join(a, "a").select("a", "b", shingles(F.col("la"), every=every).alias("sa"), shingles(F.col("lb"), every=every).alias("sb"))
-            counts = C.settled(sets.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both")))
-            return counts.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-
-        def cross(members: DataFrame) -> DataFrame:
-            chunk, every = C.faces(members, CHUNK)
-            sets = texts.select("id", hashes(F.col("line"), every=every).alias("own"))
-            face = chunk.join(sets, "id").groupBy("key", "chunk").agg(F.collect_list(F.struct("root", "own")).alias("face"))  # CHUNK or so
-            met = C.settled(every.hint("merge").join(sets, "id").select("key", "chunk", "root", "own")).join(face, ["key", "chunk"])
-            both = lambda h: F.size(F.array_intersect(h["own"], "own"))
-            near = lambda h: (h["root"] != F.col("root")) & (100 * F.least(F.size(h["own"]), F.size("own")) >= percent * F.greatest(F.size(h["own"]), F.size("own")))
-            linked = F.filter(F.filter("face", near), lambda h: (100 + percent) * both(h) >= percent * (F.size(h["own"]) + F.size("own")))
-            found = met.select("root", F.explode(F.array_distinct(F.transform(linked, lambda h: h["root"]))).alias("other"))
-            return found.select(F.least("root", "other").alias("a"), F.greatest("root", "other").alias("b")).distinct()
-
-        return confirm, cross
-
-    labels = C.bucket_components(member, confirmer)
+        on = own["doc_id"].eqNullSafe(wanted["d"]) & (own["line_no"] == wanted["n"]) & (own["ha"] == wanted["ha"]) & (own["hb"] == wanted["hb"])
+        return own.join(wanted, on).select("id", F.col("line").alias("text"))
+
+    labels = similarity.components(member, texts_of, shingler(chars), percent)
     # of each line: its own first occurrence, or that of its component
     plain = nodes.select("ha", "hb", "id", "first").join(labels, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
     several = labels.select("root").distinct()
@@ -121,7 +125,8 @@ def line_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
 
 def remove_lines(docs: DataFrame, **how) -> DataFrame:
     """``docs`` without the lines that aren't kept; other columns as they are. Rows sharing a doc_id lose the same line numbers."""
-    gone = line_components(docs, **how).where("not kept").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(C.pin(gone, "gone"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains("__gone", k)), "\n")
-    return joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)
+    own, gone = C.fresh(docs.columns, "own_id", "gone")
+    lost = line_components(docs, **how).where("not kept").groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("line_no").alias(gone))
+    joined = docs.join(C.pin(lost, "gone"), F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left")
+    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains(gone, k)), "\n")
+    return joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(rest)).select(*docs.columns)

@@ -106,6 +106,7 @@ def word_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
             n = pa.array([len(x.split()) for x in C.as_bytes(batch.column("text"))], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), n], [*names, "size"])
 
+    C.bound_batches(docs.sparkSession)
     names = ["row", "doc_id", "source", *keep]
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *dict.fromkeys(["text", *keep]))
     schema = source.select(*names).schema.add("size", "long")
@@ -171,8 +172,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     A pass that takes all words keeps the text as it is; else the taken words, joined by one space. ``n_chars``
     follows the text.
     """
-    named = docs.withColumns({"__doc": F.struct("*")}) if "__doc" not in docs.columns else docs
-    spark = docs.sparkSession
+    named = docs.select("doc_id", "source", "text", F.struct("*").alias("__doc"))
     sized = C.pin(word_counts(named, ["__doc"]), "docs")
     parts = Mixture(sized.select("row", "doc_id", "source", "size"), **how).parts()
     rows = sized.select("row", "size", F.col("__doc.text").cast("string").alias("text"), "__doc").join(parts, "row")

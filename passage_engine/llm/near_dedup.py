@@ -6,11 +6,8 @@
 2. Bins are read in bands; equal bands put sets into a bucket. A bucket's least id is the hub of a star: its edges
    to the others are candidates, as many as members, never all pairs.
 3. Candidates are confirmed on full shingle sets (100 * intersection >= 80 * union); union-find over the confirmed
-   links gives components.
-4. Members of a bucket that are still in different components, hubs aside, are not given up: those outside the
-   bucket's largest component face all its members, in chunks of ``CHUNK``, with exact intersections counted inside
-   a worker, which sends one link for each two components it joins. So no link within a bucket is lost to the star
-   shape, and no pair becomes a row.
+   links gives components. Members of a bucket that are still in different components meet other hubs, and what is
+   then open goes through an exact prefix filter (``similarity``), so no link within a bucket is lost to the star.
 
 A pair of similarity 0.8 misses all bands with probability (1 - 0.8**5)**32 < 4e-6. Nothing is capped.
 Null or empty texts have no shingles and link with nothing. Repeated rows fall together; a null doc_id takes the
@@ -29,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from passage_engine.llm import common as C
+from passage_engine.llm import similarity
 
 BANDS, ROWS = 32, 5
 PROBES = 512
-CHUNK = 256
 SIGNED = "doc_id long, n_shingles long, fp_a long, fp_b long, bands array<long>"
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp_a", pa.int64()), ("fp_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
@@ -86,114 +83,24 @@ def signer(size: int, bands: int, rows: int):
     return sign
 
 
-def overlap(size: int, num: int, den: int):
-    """Keeps the pairs whose full shingle sets overlap enough; the rows of one hub come together, so its set is made once."""
+def shingler(size: int):
+    """Makes the function from texts to their shingle sets; one for each task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, mine = C.WordHashes(), None, np.empty(0, np.uint64)
-        for batch in C.text_blocks(batches, "text_b"):
-            left, right = C.as_bytes(batch.column("text_a")), C.as_bytes(batch.column("text_b"))
-            h, starts = hashes.of([x.lower().split() for x in right])
-            ok = np.zeros(batch.num_rows, bool)
-            for k in range(batch.num_rows):
-                if left[k] != last:
-                    last, (g, _) = left[k], hashes.of([left[k].lower().split()])
-                    mine = C.shingle_set(g, size)
-                own = C.shingle_set(h[starts[k] : starts[k + 1]], size)
-                both = len(np.intersect1d(mine, own, assume_unique=True))
-                ok[k] = den * both >= num * (len(mine) + len(own) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-    return run
-
-
-def confirm(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The (a, b) of ``pairs`` that are linked; ``texts``: (id, text) for all ids in them."""
-    a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(overlap(size, num, den), "a long, b long")
+    def make() -> similarity.Shingler:
+        hashes = C.WordHashes()
 
+        def sets(column: pa.Array) -> list[np.ndarray]:
+            h, starts = hashes.of([x.lower().split() for x in C.as_bytes(column)])
+            return [C.shingle_set(h[a:b], size) for a, b in zip(starts, starts[1:], strict=False)]
 
-def crosser(size: int, num: int, den: int):
-    """Links between components within (key, chunk); rows come sorted by them and by side: first the chunk's own, then all members."""
+        return sets
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, now, face = C.WordHashes(), None, None
-        for batch in C.text_blocks(batches):
-            h, starts = hashes.of([x.lower().split() for x in C.as_bytes(batch.column("text"))])
-            found = []
-            for k, (key, chunk, side, root) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "side", "root")), strict=True)):
-                if (key, chunk) != now:
-                    now, face = (key, chunk), Face(num, den)
-                own = C.shingle_set(h[starts[k] : starts[k + 1]], size)
-                if side == 0:
-                    face.add(own, root)
-                else:
-                    found += face.links(own, root)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
-
-    return run
-
-
-class Face:
-    """Sets of one chunk, laid out so that a set's intersections with all of them are one gather and one sum."""
-
-    CELLS = 1 << 24
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den, self.sets, self.tables, self.top = num, den, [], None, {}
-
-    def add(self, own: np.ndarray, root: int) -> None:
-        self.sets.append((own, root))
-
-    def _build(self) -> None:
-        self.tables, at = [], 0
-        while at < len(self.sets):
-            to, total = at + 1, len(self.sets[at][0])
-            while to < len(self.sets) and (to + 1 - at) * (total + len(self.sets[to][0])) <= self.CELLS:
-                total += len(self.sets[to][0])
-                to += 1
-            part = self.sets[at:to]
-            vocabulary = np.unique(np.concatenate([x for x, _ in part]))
-            table = np.zeros((len(vocabulary), len(part)), np.uint8)
-            for k, (x, _) in enumerate(part):
-                table[np.searchsorted(vocabulary, x), k] = 1
-            self.tables.append((vocabulary, table, np.array([len(x) for x, _ in part]), [r for _, r in part]))
-            at = to
-
-    def _root(self, r: int) -> int:
-        while (up := self.top.get(r, r)) != r:
-            r = up
-        return r
-
-    def links(self, own: np.ndarray, root: int) -> list[tuple[int, int]]:
-        """Links from this set's component to others of the chunk that weren't joined with it yet."""
-        if self.tables is None:
-            self._build()
-        out = []
-        for vocabulary, table, sizes, roots in self.tables:
-            at = np.searchsorted(vocabulary, own)
-            at[at == len(vocabulary)] = 0
-            both = table[at[vocabulary[at] == own]].sum(0, dtype=np.int64)
-            for k in np.flatnonzero(self.den * both >= self.num * (sizes + len(own) - both)):
-                a, b = self._root(roots[k]), self._root(root)
-                if a != b:
-                    self.top[max(a, b)] = min(a, b)
-                    out.append((a, b))
-        return out
-
-
-def cross_links(members: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that join the components of ``members`` (key, id, root) linked within a bucket."""
-    own, every = C.faces(members, CHUNK)
-    own, every = own.withColumn("side", F.lit(0)), every.withColumn("side", F.lit(1))
-    rows = own.unionByName(every).hint("merge").join(texts, "id").select("key", "chunk", "side", "root", "text")
-    return rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "side").mapInArrow(crosser(size, num, den), "a long, b long")
+    return make
 
 
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``; links: shingle sets with a similarity of ``percent`` or more."""
+    C.bound_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = C.pin(source.mapInArrow(signer(size, bands, rows), SIGNED), "signed")
     sets = C.pin(signed.where("n_shingles > 0").groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "copies")
@@ -204,19 +111,22 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, bands: in
 
     member = nodes.where("bands is not null").select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
 
-    def confirmer(ids: DataFrame):
-        texts = C.pin(source.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"), "texts")
-        return lambda pairs: confirm(pairs, texts, size, percent, 100), lambda members: cross_links(members, texts, size, percent, 100)
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return source.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
 
-    labels = C.bucket_components(member, confirmer)
+    labels = similarity.components(member, texts_of, shingler(size), percent)
     out = nodes.select("doc_id", "n_shingles", "rep").join(labels, F.col("rep") == F.col("node"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """``docs``, with all columns, without near duplicates: of each component the row with the least doc_id, once."""
-    kept = C.pin(near_duplicates(docs, **how).where("kept").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
-    same = Window.partitionBy("__kept", "__hash").orderBy("__hash")
-    rows = docs.withColumn("__hash", F.xxhash64("text")).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")))
-    return rows.withColumn("__nth", F.row_number().over(same)).where("__nth = 1").select(*docs.columns)
+    """``docs``, with all columns, without near duplicates: of each component the row with the least doc_id, once.
+
+    Of rows with the same doc_id and text, the one whose columns have the least hash stays.
+    """
+    own, text, nth = C.fresh(docs.columns, "kept_id", "kept_text", "nth")
+    kept = C.pin(near_duplicates(docs, **how).where("kept").select(F.col("doc_id").alias(own)).distinct(), "kept")
+    rows = docs.withColumn(text, F.xxhash64("text")).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(own)))
+    same = Window.partitionBy(own, text).orderBy(F.xxhash64(*docs.columns))
+    return rows.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1).select(*docs.columns)

@@ -52,14 +52,9 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.train(docs, C.load(spark, sf_dir, "labels")))
 
 
-def op2_line_dedup_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shingles at every character of a line; tests hold it against brute force."""
-    return line_dedup.line_components(C.load(spark, sf_dir, "documents"), every=True)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_store, op2_line_dedup, op3_quality_rules, op4_token_counts, op5_decontamination, op6_substring_dedup, op7_near_dedup, op8_mixing, op9_sharding, op10_quality_classifier, op2_line_dedup_every)
+    for f in (op1_token_store, op2_line_dedup, op3_quality_rules, op4_token_counts, op5_decontamination, op6_substring_dedup, op7_near_dedup, op8_mixing, op9_sharding, op10_quality_classifier)
 }
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -72,8 +67,7 @@ WITH RECURSIVE cut AS (
 own AS (SELECT * FROM cut WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 cls AS (SELECT line, min((doc_id, line_no)) AS first, row_number() OVER (ORDER BY min((doc_id, line_no))) AS id FROM own GROUP BY line),
 sh AS (
-  SELECT DISTINCT id, unnest(list_transform(list_filter(range(1, length(line) + 1),
-    lambda i: regexp_matches(substr(line, i, 1), '[^\x20\x09-\x0D]') AND (i = 1 OR regexp_matches(substr(line, i - 1, 1), '[\x20\x09-\x0D]'))), lambda i: substr(line, i, {line_dedup.CHARS}))) AS g FROM cls),
+  SELECT DISTINCT id, unnest(list_transform(range(1, greatest(length(line) - {line_dedup.CHARS} + 2, 2)), lambda i: substr(line, i, {line_dedup.CHARS}))) AS g FROM cls),
 n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
 both_ AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM sh a JOIN sh b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
 links AS (SELECT a, b FROM both_ JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * k >= {line_dedup.PERCENT} * (x.n + y.n - k)),

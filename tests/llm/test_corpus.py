@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from passage_engine.llm import common as C
-from passage_engine.llm import decontaminate, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup, token_counts, token_store
+from passage_engine.llm import decontaminate, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, similarity, substring_dedup, token_counts, token_store
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, n long, row string, size string, id string, block long, part string"
 
@@ -80,19 +80,38 @@ def test_components_of_chains_and_stars(spark):
     assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_bucket_links_that_a_star_misses(spark):
-    """The hub 0 is like nobody; the links among 1..9 are met only when the rest of the bucket faces itself."""
-    linked = [(1, 2), (3, 4), (4, 5), (8, 9)]
-    member = spark.createDataFrame([(1, i) for i in range(10)], "key long, id long")
-    ok = spark.createDataFrame(linked, "a long, b long")
+def bucket(spark, sets):
+    def numbers(column):
+        return [np.unique(np.array([int(x) for x in t.split()], np.uint64)) for t in column.to_pylist()]
+
+    member = spark.createDataFrame([(1, i) for i in sets], "key long, id long")
+    texts = spark.createDataFrame([(i, " ".join(map(str, sorted(s)))) for i, s in sets.items()], "id long, text string")
+    found = similarity.components(member, lambda ids: texts.join(ids, "id", "left_semi"), lambda: numbers, 80)
+    return {r["node"]: r["root"] for r in found.collect()}
 
-    def cross(members):
-        chunk, every = C.faces(members, 2)
-        pairs = chunk.select("key", "chunk", F.col("id").alias("a")).join(every.select("key", "chunk", F.col("id").alias("b")), ["key", "chunk"])
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(ok, ["a", "b"])
 
-    found = C.bucket_components(member, lambda ids: (lambda pairs: pairs.join(ok, ["a", "b"]), cross))
-    assert {r["node"]: r["root"] for r in found.collect()} == {2: 1, 4: 3, 5: 3, 9: 8}
+def test_bucket_links_that_a_star_misses(spark):
+    """The hub 0 is like nobody; the links among 1..9 are met only when the rest of the bucket is searched."""
+    common = set(range(1_000, 1_040))
+    sets = {i: {100 * i + k for k in range(20)} | common for i in range(10)}
+    for a, b in ((1, 2), (3, 4), (4, 5), (8, 9)):
+        sets[b] = {*list(sorted(sets[a]))[1:], 50_000 + b}
+    assert bucket(spark, sets) == {2: 1, 4: 3, 5: 3, 9: 8}
+
+
+def test_bucket_of_near_copies_and_strangers(spark, monkeypatch):
+    """One bucket of 5,000 near copies, not all alike, and 5,000 strangers that share a passage with them: exact components from few pairs."""
+    rng, pairs = random.Random(4), []
+    base = list(range(100_000, 100_100))
+    sets = {i: {x if rng.random() > 0.06 else rng.randrange(1 << 40) for x in base} for i in range(0, 10_000, 2)}
+    sets |= {i: {*base[:50], *(rng.randrange(1 << 40) for _ in range(60))} for i in range(1, 10_000, 2)}
+    whole = similarity.confirm
+    monkeypatch.setattr(similarity, "confirm", lambda p, *a: pairs.append(p.count()) or whole(p, *a))
+    found = bucket(spark, sets)
+    left = {i for i in range(0, 10_000, 2) if found.get(i, i) != 0}
+    assert all(i % 2 == 0 for i in found) and sum(pairs) < 250_000
+    for i in left:  # whoever stayed alone is like no one
+        assert not any(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in range(0, 10_000, 2) if j != i and found.get(j, j) != found.get(i, i))
 
 
 # ---------------------------------------------------------------- 1
@@ -102,7 +121,9 @@ def test_bucket_links_that_a_star_misses(spark):
 @given(st.text(alphabet=st.characters(max_codepoint=0x2FF) | st.sampled_from(" '.,!İ<|aésS\ń中\x1c\x85\xa0"), max_size=40))
 def test_word_encoder_is_the_library(text):
     own = token_store._encoder("word_bpe_49k.json")
-    assert own(pa.array([text], pa.string()))[0].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    ids, starts = own(pa.array([text, "a b", text], pa.string()))
+    want = [own.tokenizer.encode(x, add_special_tokens=False).ids for x in (text, "a b", text)]
+    assert own.by_word and [ids[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == want
 
 
 def test_crc_shares():
@@ -153,7 +174,7 @@ def test_line_dedup_is_brute_force(docs, rows):
             if split(line):
                 first.setdefault(line, (doc_id, k))
     for line in first:
-        sets[line] = {line[m.start() : m.start() + 8] for m in re.finditer(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]", line)}
+        sets[line] = {line[k : k + 8] for k in range(max(1, len(line) - 7))}
     parent = {x: x for x in first}
 
     def root(x):
@@ -201,7 +222,7 @@ def test_line_dedup_reads_every_character(spark, docs, rows, tmp_path):
             if root[a] != root[b] and 100 * small >= 80 * large and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = sorted((root[a], root[b]), key=first.get)
                 root = {k: x if v == y else v for k, v in root.items()}
-    found = {(r["doc_id"], r["line_no"]): r for r in QUERIES["op2_line_dedup_every"](spark, str(tmp_path)).collect()}
+    found = {(r["doc_id"], r["line_no"]): r for r in QUERIES["op2_line_dedup"](spark, str(tmp_path)).collect()}
     assert len(found) == sum(bool(split(x)) for t in texts.values() if t is not None for x in t.split("\n"))
     for (doc_id, k), r in found.items():
         assert (r["rep_doc_id"], r["rep_line_no"]) == first[root[texts[doc_id].split("\n")[k]]] and r["kept"] == ((doc_id, k) == (r["rep_doc_id"], r["rep_line_no"]))
