@@ -90,4 +90,4 @@ def model_answers(questions: DataFrame, candidates: DataFrame, model: LanguageMo
     lead = F.lit("Answer from these passages alone and name the document and page you rely on. Say so if they don't hold the answer.\n\n")
     asked = own.withColumn("prompt", F.concat(lead, answer_context(F.col("hits")), F.lit("\n\nQuestion: "), F.col("question")))
     out = ask_model(asked.select("question_idx", "question", "collection_id", "pipeline", "hits", "prompt"), "prompt", model)
-    return out.select("question_idx", "question", "collection_id", "pipeline", "answer", "error", source_entries(F.col("hits")).alias("sources"))
+    return out.select("question_idx", "question", "collection_id", "pipeline", "answer", "error", source_entries(F.col("hits")).alias("sources"), F.transform("hits", lambda h: h["text"]).alias("contexts"))

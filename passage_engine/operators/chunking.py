@@ -55,6 +55,8 @@ def sliding(pages: DataFrame, window: int = DEFAULTS.window, stride: int = DEFAU
 
 def structure(pages: DataFrame, size: int = DEFAULTS.fixed_size, overlap: int = DEFAULTS.fixed_overlap) -> DataFrame:
     """Fixed windows inside the segments between headings."""
+    if overlap < 0:
+        raise ValueError("an overlap can't be negative")
     whole = _whole(pages)
     parts = whole.select("collection_id", "source_file", "page", F.posexplode(T.segments(F.col("body"))).alias("segment_ord", "s"))
     return _cut(parts.select("collection_id", "source_file", "page", "segment_ord", F.col("s.title").alias("section_title"), F.col("s.body").alias("body")), "structure", size, size - overlap)

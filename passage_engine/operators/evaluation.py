@@ -38,14 +38,14 @@ def diagnostics(answers: DataFrame) -> DataFrame:
 
 
 def judged(answers: DataFrame, truths: DataFrame, judge: Judge) -> DataFrame:
-    """(question_idx, pipeline, question, answer, truth, one column a metric) of the valid answers."""
-    rows = answers.where(is_valid()).join(truths.select("question_idx", "truth"), "question_idx").select("question_idx", "pipeline", "question", "answer", "truth", "contexts")
-    schema = StructType([*rows.drop("contexts").schema.fields, *[StructField(m, DoubleType()) for m in METRICS]])
+    """(question_idx, pipeline, question, answer, truth, one column a metric) of all answers; only valid ones are judged, the others' metrics are null."""
+    rows = answers.join(truths.select("question_idx", "truth"), "question_idx").select("question_idx", "pipeline", "question", "answer", "truth", "contexts", is_valid().alias("valid"))
+    schema = StructType([*rows.drop("contexts", "valid").schema.fields, *[StructField(m, DoubleType()) for m in METRICS]])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [_judge(judge, r) for r in frame.itertuples(index=False)]
-            yield frame.drop(columns="contexts").assign(**{m: pd.array([x.get(m) for x in found], "Float64") for m in METRICS})
+            found = [_judge(judge, r) if r.valid else {} for r in frame.itertuples(index=False)]
+            yield frame.drop(columns=["contexts", "valid"]).assign(**{m: pd.array([x.get(m) for x in found], "Float64") for m in METRICS})
 
     return rows.mapInPandas(run, schema)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +54,7 @@ class Engine:
         return self.ingest_pages(pages)
 
     def ingest_pages(self, pages: DataFrame) -> DataFrame:
-        chunks = chunking.numbered(chunking.all_classic(pages, self.defaults))
+        chunks = tables.pin(chunking.numbered(chunking.all_classic(pages, self.defaults)), "chunks")
         sparse.require_terms(chunks.select(F.explode(T.terms(F.col("text"))).alias("term")))
         writers.store(chunks, self.data, "chunks", ["chunk_ord"])
         collections = tables.pin(pages.select("collection_id").distinct(), "collections")
@@ -84,7 +85,11 @@ class Engine:
         """Top k chunks, with text and meta, of each question and pipeline."""
         k = self.defaults.top_k if k is None else k
         chunks = readers.chunk_store(self.spark, self.data, collection_id, list(pipelines))
-        classic, vector = [p for p in pipelines if p not in DENSE], [p for p in pipelines if p in DENSE]
+        classic, vector = [p for p in pipelines if p not in DENSE], [p for p in pipelines if p in (self.embedders or {})]
+        for name in (p for p in pipelines if p in DENSE and p not in vector):
+            warnings.warn(f"{name} is left out: it has no embedder", stacklevel=2)
+        if not classic and not vector:
+            raise LookupError("no pipeline to ask")
         found = None
         if classic:
             index, stats = readers.sparse_index(self.spark, self.data, collection_id, classic)
@@ -99,7 +104,7 @@ class Engine:
     def ask(self, questions: DataFrame, collection_id: str, pipelines: tuple[str, ...] = CLASSIC, k: int | None = None, max_sentences: int | None = None, model: LanguageModel | None = None) -> DataFrame:
         found = self.candidates(questions, collection_id, pipelines, k)
         if model is not None:
-            return answers.model_answers(questions, found, model)
+            return answers.model_answers(questions, found, model).drop("contexts")
         return answers.answer_payloads(questions, found, max_sentences or self.defaults.max_sentences).drop("contexts")
 
     def ask_json(self, question: str, collection_id: str, **how) -> dict:
@@ -122,10 +127,16 @@ class Engine:
         except Exception as e:
             return out | {"answer": None, "error": str(e)}
 
-    def evaluate(self, questions: DataFrame, collection_id: str, k: int | None = None, max_sentences: int = 4, local_proxy: bool = True, judge: Judge | None = None, use_llm: bool = False, export: str | None = None) -> dict:
-        """Reports over the classic pipelines: mean word overlap, and judged metrics if there is a judge and ``use_llm``."""
+    def evaluate(self, questions: DataFrame, collection_id: str, k: int | None = None, max_sentences: int = 4, local_proxy: bool = True, judge: Judge | None = None, use_llm: bool = False, export: str | None = None, model: LanguageModel | None = None) -> dict:
+        """Reports over the classic pipelines: mean word overlap, and judged metrics if there is a judge and ``use_llm``.
+
+        With ``use_llm`` and a ``model``, the model writes the answers; they are written once, as calls cost.
+        """
         found = self.candidates(questions, collection_id, CLASSIC, k)
-        own = answers.answer_payloads(questions, found, max_sentences)
+        if use_llm and model is not None:
+            own = tables.pin(answers.model_answers(questions, found, model), "answers")
+        else:
+            own = answers.answer_payloads(questions, found, max_sentences)
         out: dict = {}
         if local_proxy:
             out |= {f"{r['pipeline']}_proxy": {"proxy_similarity_mean": r["proxy_similarity_mean"]} for r in evaluation.proxy_report(own, questions).collect()}

@@ -268,16 +268,9 @@ for _name in PIPELINES:
     _retrieval(_name)
 
 
-@query(f"WITH {FIXED}, {INDEX}, {_search(BENCH + ''' WHERE item_id < 5 UNION ALL SELECT 1000, 'zzqqx unknownish the of and'  ''', 9)} SELECT {HITS} FROM hits")
-def retrieve_zero_fill(spark, sf):
-    """Questions without a known term, and k beyond a collection's matches."""
-    unknown = spark.createDataFrame([(1000, "zzqqx unknownish the of and")], "question_idx int, question string")
-    return engine.search(_fixed(spark, sf), _questions(spark, sf).where("question_idx < 5").unionByName(unknown), 9)
-
-
 @query(f"WITH {FIXED}, {INDEX}, {_search(BENCH + ''' UNION ALL SELECT -1, 'zzqqx unknownish the of and'  ''', 9)} SELECT {HITS} FROM hits")
-def retrieve_zero_fill_all(spark, sf):
-    """All questions and one without a known term, whose number no question has."""
+def retrieve_zero_fill(spark, sf):
+    """All questions and one without a known term, whose number no question has; k beyond a collection's matches."""
     unknown = spark.createDataFrame([(-1, "zzqqx unknownish the of and")], "question_idx int, question string")
     return engine.search(_fixed(spark, sf), _questions(spark, sf).unionByName(unknown), 9)
 
@@ -285,20 +278,12 @@ def retrieve_zero_fill_all(spark, sf):
 # ---------------------------------------------------------------- dense index
 
 
-@query("""WITH q AS (SELECT vec_id::INT AS question_idx, embedding AS v FROM embeddings WHERE vec_id < 10),
+@query("""WITH q AS (SELECT vec_id::INT AS question_idx, embedding AS v FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT question_idx, e.vec_id::INT AS chunk_ord, round(CASE WHEN list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) * list_sum(list_transform(v, lambda x: x::DOUBLE * x)) > 0 THEN
   list_sum(list_transform(list_zip(embedding, v), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE)))) ELSE 0 END, 6) AS score FROM embeddings e CROSS JOIN q)
 SELECT question_idx, 'vectors' AS collection_id, 'semantic' AS pipeline, rank, score, chunk_ord FROM (SELECT *, row_number() OVER (PARTITION BY question_idx ORDER BY score DESC, chunk_ord)::INT AS rank FROM s) WHERE rank <= 6""")
 def retrieve_dense_cosine(spark, sf):
-    own = _table(spark, sf, "embeddings")
-    vectors = own.select(F.lit("vectors").alias("collection_id"), F.lit("semantic").alias("pipeline"), F.col("vec_id").cast("int").alias("chunk_ord"), "embedding", dense.norm(F.col("embedding")).alias("norm"))
-    asked = own.where("vec_id < 10").select(F.col("vec_id").cast("int").alias("question_idx"), F.col("embedding").alias("vector"), dense.norm(F.col("embedding")).alias("vector_norm"))
-    return dense.retrieve_vectors(vectors, asked, D.top_k)
-
-
-@query()
-def retrieve_dense_cosine_hundreds(spark, sf):
-    """Every vector whose vec_id is divisible by 100 against all vectors; tests hold it against brute force."""
+    """Every vector whose vec_id is divisible by 100 against all vectors, in blocks."""
     own = _table(spark, sf, "embeddings")
     vectors = own.select(F.lit("vectors").alias("collection_id"), F.lit("semantic").alias("pipeline"), F.col("vec_id").cast("int").alias("chunk_ord"), "embedding", dense.norm(F.col("embedding")).alias("norm"))
     asked = own.where("vec_id % 100 = 0").select(F.col("vec_id").cast("int").alias("question_idx"), F.col("embedding").alias("vector"), dense.norm(F.col("embedding")).alias("vector_norm"))
@@ -417,14 +402,24 @@ def metric_overall(spark, sf):
     return evaluation.overall(evaluation.metric_summary(evaluation.metric_rows(_scores(spark, sf)))).withColumn("average", F.round("average", 6))
 
 
-@query(f"WITH {METRIC_ROWS} SELECT question_idx, pipeline, metric, CASE WHEN value IS NULL THEN 'N/A' ELSE printf('%.3f', round(value, 3)) END AS shown FROM long WHERE metric <> 'answer_relevancy'")
+@query(f"WITH {METRIC_ROWS} SELECT question_idx, pipeline, metric, CASE WHEN value IS NULL THEN 'N/A' ELSE printf('%.3f', round(value::DECIMAL(30, 12), 3)::DOUBLE) END AS shown FROM long")
 def metric_format(spark, sf):
-    own = evaluation.metric_rows(_scores(spark, sf)).where("metric <> 'answer_relevancy'")
+    own = evaluation.metric_rows(_scores(spark, sf))
     return own.select("question_idx", "pipeline", "metric", T.three_decimals(F.round("value", 3)).alias("shown"))
 
 
-@query()
+def _share(x: str, y: str) -> str:
+    return f"CASE WHEN valid AND len({_set(x)}) > 0 THEN len(list_intersect({_set(x)}, {_set(y)}))::DOUBLE / len({_set(x)}) END"
+
+
+_BOTH = "question || ' ' || raw"
+_SHARES = {"answer_relevancy": _share("question", "raw"), "faithfulness": _share("raw", _BOTH), "context_precision": _share("question", _BOTH), "context_recall": _share("question", _BOTH)}
+_JUDGED = " UNION ALL ".join(f"SELECT pipeline, question_idx, question, CASE WHEN question_idx % 5 = 0 THEN ' ' || chr(9) ELSE raw END AS answer, question AS ground_truth, '{m}' AS metric, {x} AS value FROM ok" for m, x in _SHARES.items())
+
+
+@query(f"WITH {FLAWED} {_JUDGED}")
 def judged_metrics(spark, sf):
+    """The stand-in judge: a row for every answer and metric, null where the answer isn't valid."""
     own = _flawed(_numbered_qa(spark, sf))
     return evaluation.metric_rows(evaluation.judged(own, own.select("question_idx", F.col("question").alias("truth")), OverlapJudge()))
 
@@ -441,9 +436,9 @@ def gt_candidate_chunks(spark, sf):
     return own.select("collection_id", "source_file", "page", "start", "end", F.length("text").alias("chars"))
 
 
-@query(f"WITH {GT} SELECT collection_id, source_file, start::INT AS start, pick FROM picked WHERE pick <= 1")
+@query(f"WITH {GT} SELECT collection_id, source_file, start::INT AS start, pick FROM picked WHERE pick <= 10")
 def gt_sample(spark, sf):
-    own = groundtruth.sample(groundtruth.candidates(chunking.ground_truth_windows(_pages(spark, sf))), 1)
+    own = groundtruth.sample(groundtruth.candidates(chunking.ground_truth_windows(_pages(spark, sf))))
     return own.select("collection_id", "source_file", "start", "pick")
 
 
@@ -458,13 +453,17 @@ def llm_json_extract(spark, sf):
     return groundtruth.parsed_json(own.withColumn("reply", F.expr(REPLY))).select("question_idx", "question", "answer")
 
 
-@query()
+_EMPTY_PROMPT = len(groundtruth.TEMPLATE.format(document="", page="", text=""))
+
+
+@query(f"""WITH {GT} SELECT ({_EMPTY_PROMPT} + length(source_file) + length(page::VARCHAR) + length(text))::VARCHAR || '?' AS question, 'yes' AS answer, source_file AS source_document, page::INT AS page, '' AS doc_section, '' AS chunk_id, 'scripted:1' AS generated_by FROM picked WHERE pick <= 10""")
 def generated_ground_truth(spark, sf):
     """The generator with a scripted model."""
     return engine.generate_ground_truth(_pages(spark, sf), ScriptedModel(lambda p: '{"question": "' + str(len(p)) + '?", "answer": "yes"}'))
 
 
-@query()
+@query(rf"""WITH {FIXED}, {INDEX}, {_search(BENCH, 6)} SELECT question_idx, collection_id, pipeline, right(string_agg('Document ' || collection_id || ', Page ' || page || ', Section: ' || coalesce(section_title, 'None') || chr(10) || text, chr(10) || chr(10) ORDER BY rank) FILTER (rank <= 5) || chr(10) || chr(10) || 'Question: ' || question, 80) AS answer,
+  NULL::VARCHAR AS error FROM hits JOIN chunks USING (collection_id, pipeline, chunk_ord) JOIN qs USING (question_idx) GROUP BY question_idx, collection_id, pipeline, question""")
 def model_answers(spark, sf):
     chunks, questions = _fixed(spark, sf), _questions(spark, sf)
     found = answers.with_passages(engine.search(chunks, questions), chunks)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,15 +27,18 @@ def plain_text(content) -> F.Column:
     return F.regexp_replace(F.regexp_replace(F.make_valid_utf8(content.cast("string")), "�", ""), "\r\n?", "\n")
 
 
-def pages(spark: SparkSession, path: str, collection_id: str, pdf: Callable[[bytes], list[str]] | None = None, folder: bool = True) -> DataFrame:
+def pages(spark: SparkSession, path: str, collection_id: str, pdf: Callable[[bytes], list[str]] | None = None, folder: bool = True, skip_pdf: bool = False) -> DataFrame:
     """Pages of a folder's PDF, text and Markdown files (not of its folders), or of one file of any type.
 
-    ``pdf`` gives the texts of a PDF's pages, '' for a page it can't read; without it, or if it fails, a PDF is left
-    out. A text file is page 1. In single-file mode the source is the collection.
+    ``pdf`` gives the texts of a PDF's pages, '' for a page it can't read; if it fails, the PDF is left out. Without it
+    a PDF is an error, unless ``skip_pdf`` says to leave PDFs out. A text file is page 1. In single-file mode the source
+    is the collection.
     """
     found = _files(spark, path, FOLDER_TYPES if folder else None)
     source = T.file_name(F.col("path")) if folder else F.lit(None).cast("string")
     is_pdf = T.extension(F.col("path")) == ".pdf"
+    if pdf is None and not skip_pdf and (first := found.where(is_pdf).select("path").head()) is not None:
+        raise ValueError(f"{first[0]} needs a function that reads PDFs")
     out = found.where(~is_pdf).select(F.lit(collection_id).alias("collection_id"), source.alias("source_file"), F.lit(1).alias("page"), plain_text(F.col("content")).alias("text"))
     if pdf is not None:
         held = found.where(is_pdf).select(F.lit(collection_id).alias("collection_id"), source.alias("source_file"), "content")
@@ -71,7 +75,10 @@ def numbered_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, data: str, name: str, schema: str, collection_id: str | None, pipelines: list[str] | None) -> DataFrame:
-    found = spark.read.schema(schema).parquet(f"{data}/{name}")
+    try:
+        found = spark.read.schema(schema).parquet(f"{data}/{name}")
+    except AnalysisException as e:
+        raise FileNotFoundError(f"nothing has been ingested into {data}") from e
     if collection_id is not None:
         found = found.where(F.col("collection_id") == collection_id)
     return found if pipelines is None else found.where(F.col("pipeline").isin(pipelines))

@@ -1,6 +1,6 @@
 """Tables that a plan reads more than once, written once into the folder all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``, or one set here where there is none. A written table cuts the
+The folder is the session's ``spark.checkpoint.dir``; a session with a local master gets a temporary one if there is none. A written table cuts the
 lineage and survives lost executors; later joins shuffle it by themselves, so that a hot key can be split at run time.
 """
 
@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isEmpty():
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="passage-engine-"))
             found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get()

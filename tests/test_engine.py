@@ -204,8 +204,10 @@ def test_metrics(spark):
     d = {r["pipeline"]: (r["entries"], r["empty_contexts"], r["empty_answers"], r["valid"]) for r in evaluation.diagnostics(own).collect()}
     assert d == {"p": (5, 1, 1, 2), "r": (1, 0, 1, 0)}
     long = evaluation.metric_rows(evaluation.judged(own, truths, providers.OverlapJudge()))
-    assert {r["question_idx"] for r in long.collect()} == {0, 5} and long.count() == 8
-    summary = evaluation.metric_summary(long).collect()[0]
+    assert {r["question_idx"] for r in long.where("value is not null").collect()} == {0, 5} and long.count() == 24
+    summary = {r["pipeline"]: r for r in evaluation.metric_summary(long).collect()}
+    assert set(summary) == {"p", "r"} and summary["r"]["answer_relevancy"] is None
+    summary = summary["p"]
     assert summary["answer_relevancy"] == pytest.approx(0.25) and summary["context_recall"] == 0.0
     assert evaluation.overall(evaluation.metric_summary(long.withColumn("value", F.lit(None).cast("double")))).collect()[0]["average"] is None
     report = {r["pipeline"]: r["proxy_similarity_mean"] for r in evaluation.proxy_report(own, truths.limit(0)).collect()}
@@ -236,7 +238,9 @@ def test_scan(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "x.txt").write_bytes(b"deep")
-    own = {r["source_file"]: r["text"] for r in readers.pages(spark, str(tmp_path), "c").collect()}
+    with pytest.raises(ValueError, match=r"d\.pdf"):
+        readers.pages(spark, str(tmp_path), "c")
+    own = {r["source_file"]: r["text"] for r in readers.pages(spark, str(tmp_path), "c", skip_pdf=True).collect()}
     assert own == {"b.txt": "é\nx\ny", "c.md": "# t", "un été+1.txt": "z"}
     pdf = lambda data: ["one", None]
     assert {(r["page"], r["text"]) for r in readers.pages(spark, str(tmp_path), "c", pdf).where("source_file = 'd.pdf'").collect()} == {(1, "one"), (2, "")}
@@ -279,6 +283,10 @@ def test_engine_round_trip(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         own.ask_json("x", "nobody")
     questions = spark.createDataFrame([(0, "Where do rivers run?", "to the sea"), (1, "What does the fox do?", "jumps")], "question_idx int, question string, truth string")
+    written = own.evaluate(questions, "animals", judge=providers.OverlapJudge(), use_llm=True, model=providers.ScriptedModel(lambda p: "to the sea"))
+    assert all(written[f"{p}_proxy"]["proxy_similarity_mean"] == 0.5 for p in CLASSIC)
+    with pytest.warns(UserWarning, match="no embedder"):
+        assert Engine(spark, own.data).ask(questions, "animals", pipelines=("fixed", "semantic")).count() == 2
     report = own.evaluate(questions, "animals", judge=providers.OverlapJudge(), use_llm=True, export=str(tmp_path / "out"))
     assert {f"{p}_proxy" for p in CLASSIC} <= set(report) and set(report["summary"]) == set(CLASSIC)
     rows = list(csv.reader(open(glob.glob(str(tmp_path / "out/ragas_summary.csv/*.csv"))[0], encoding="utf-8")))
@@ -298,6 +306,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main([*data, "ask", "--doc-id", "c", "--question", "fox"], spark) == 0
     assert len(json.loads(capsys.readouterr().out)) == 3
     assert cli.main([*data, "ask", "--doc-id", "nobody", "--question", "fox"], spark) == 1
+    assert cli.main(["--data", str(tmp_path / "none"), "ask", "--doc-id", "c", "--question", "fox"], spark) == 1
+    assert cli.main([*data, "ingest", "--doc", str(tmp_path / "missing"), "--doc-id", "c"], spark) == 1
 
 
 def test_http(spark, tmp_path):
@@ -367,7 +377,7 @@ def test_dense_search_asks_every_hundredth_vector(spark, sf):
     for i in np.flatnonzero(ids % 100 == 0):
         score = np.round(m @ m[i], 6)
         want |= {(int(ids[i]), rank + 1, int(ids[j])) for rank, j in enumerate(np.lexsort((ids, -score))[:6])}
-    found = QUERIES["retrieve_dense_cosine_hundreds"](spark, sf).collect()
+    found = QUERIES["retrieve_dense_cosine"](spark, sf).collect()
     assert len(found) == len(want) and {(r["question_idx"], r["rank"], r["chunk_ord"]) for r in found} == want
     vectors = spark.createDataFrame([("c", "p", k, [float(k), 1.0], (k * k + 1.0) ** 0.5) for k in range(9)], "collection_id string, pipeline string, chunk_ord int, embedding array<float>, norm double")
     asked = vectors.select(F.col("chunk_ord").alias("question_idx"), F.col("embedding").alias("vector"), F.col("norm").alias("vector_norm"))
@@ -378,7 +388,7 @@ def test_zero_fill_asks_every_question(spark, sf):
     from passage_engine.queries import QUERIES
 
     items = {r[0] for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id").collect()}
-    found = QUERIES["retrieve_zero_fill_all"](spark, sf).select("question_idx").distinct().collect()
+    found = QUERIES["retrieve_zero_fill"](spark, sf).select("question_idx").distinct().collect()
     assert {r[0] for r in found} == items | {-1}
 
 
