@@ -68,7 +68,13 @@ def shingle_runs(column: pa.Array, chars: int = CHARS) -> tuple[np.ndarray, np.n
 def shingler(chars: int = CHARS):
     def sets(column: pa.Array) -> list[np.ndarray]:
         h, first = shingle_runs(column, chars)
-        return [np.unique(h[a:b]) for a, b in zip(first, first[1:], strict=False)]
+        out = []
+        for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
+            own = np.sort(h[a:b])
+            new = np.ones(b - a, bool)
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            out.append(own[new])
+        return out
 
     return lambda: sets
 

@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passage_engine.llm import common as C
@@ -50,18 +50,19 @@ def alike(mine: np.ndarray, own: np.ndarray, percent: int) -> bool:
 
 
 def overlap(shingler: Callable[[], Shingler], percent: int):
-    """Keeps the pairs that are alike; the rows of one hub come together, so its set is made once."""
+    """Keeps the pairs that are alike; of each side, the set of a text that a block has several times is made once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, last, mine = shingler(), None, np.empty(0, np.uint64)
+        sets = shingler()
         for batch in C.text_blocks(batches, "text_b"):
-            hubs = C.as_bytes(batch.column("text_a"))
-            ok = np.zeros(batch.num_rows, bool)
-            for k, own in enumerate(sets(batch.column("text_b"))):
-                if hubs[k] != last:
-                    last, (mine,) = hubs[k], sets(batch.column("text_a").slice(k, 1))
-                ok[k] = alike(mine, own, percent)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            for part in C.text_blocks(iter([batch]), "text_a"):
+                sides = []
+                for name in ("text_a", "text_b"):
+                    coded = part.column(name).dictionary_encode()
+                    own = sets(coded.dictionary)
+                    sides.append([own[k] for k in coded.indices.to_pylist()])
+                ok = [alike(x, y, percent) for x, y in zip(*sides, strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -95,31 +96,43 @@ def _prefixes(shingler: Callable[[], Shingler], percent: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingler()
         for batch in C.text_blocks(batches):
-            found, sizes = [], []
+            found, sizes, places = [], [], []
             for own in sets(batch.column("text")):
                 n = len(own)
                 order = np.lexsort((own, counts.value[_cells(own)]))
                 found.append(own[order[: n - -(-percent * n // 100) + 1]])
                 sizes.append(n)
+                places.append(np.arange(len(found[-1])))
             each = np.array([len(x) for x in found], np.int64)
             rows = pa.array(np.repeat(np.arange(len(found)), each))
             sizes = pa.array(np.repeat(np.array(sizes, np.int64), each))
-            yield pa.RecordBatch.from_arrays([pa.array(C.signed(np.concatenate([*found, np.empty(0, np.uint64)]))), batch.column("id").take(rows), sizes], ["h", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(C.signed(np.concatenate([*found, np.empty(0, np.uint64)]))), batch.column("id").take(rows), sizes, pa.array(np.concatenate([*places, np.empty(0, np.int64)]))], ["h", "id", "n", "p"])
 
     return run
 
 
 def prefixes(still: DataFrame, texts: DataFrame, shingler: Callable[[], Shingler], percent: int) -> DataFrame:
-    """Finer buckets (h, id, n) of open members (id) and their sizes; only those that several sets share."""
+    """Finer buckets (h, id, n, p) of open members (id), their sizes and the place of h in them; only those that several share."""
     spark = still.sparkSession
     own = C.pin(still.hint("merge").join(texts, "id").select("id", "text"), "still")
     counts = np.zeros(CELLS, np.int64)
     for cell, n in own.select("text").mapInArrow(_counted(shingler), "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():  # CELLS rows at most
         counts[cell] = n
     sent = spark.sparkContext.broadcast(counts)
-    first = C.pin(own.mapInArrow(_prefixes(shingler, percent, sent), "h long, id long, n long").groupBy("h", "id").agg(F.max("n").alias("n")), "prefixes")
+    first = C.pin(own.mapInArrow(_prefixes(shingler, percent, sent), "h long, id long, n long, p long"), "prefixes")
     sent.unpersist()
-    return first.join(first.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"), "h")
+    return first.join(first.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h"), "h")
+
+
+def possible(n: Column, p: Column, m: Column, q: Column, percent: int) -> Column:
+    """Whether sets of sizes n and m that share the member at places p and q can be alike.
+
+    They share at most what lies before the nearer place, the member and what follows the farther one; and of two alike
+    sets the smaller has a shared member so early that what follows is still enough for a set of its own size.
+    """
+    both = F.least(p, q) + 1 + F.least(n - p, m - q) - 1
+    early = lambda n, p: (100 + percent) * (n - p) >= 2 * percent * n
+    return ((100 + percent) * both >= percent * (n + m)) & F.when(n < m, early(n, p)).when(n > m, early(m, q)).otherwise(early(n, p) & early(m, q))
 
 
 class Face:
@@ -241,8 +254,8 @@ def components(member: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sh
         if fine.isEmpty():
             break
         if salt < ROUNDS:
-            hub = fine.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "h", "id").alias("by"), "id", "root", "n")).alias("hub"))
-            near = (F.col("root") != F.col("hub.root")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
+            hub = fine.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "h", "id").alias("by"), "id", "root", "n", "p")).alias("hub"))
+            near = (F.col("root") != F.col("hub.root")) & possible(F.col("n"), F.col("p"), F.col("hub.n"), F.col("hub.p"), percent)
             pairs = fine.join(hub, "h").where(near).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
             links = confirm(C.pin(pairs, "pairs"), texts, shingler, percent)
         else:
