@@ -96,7 +96,7 @@ class WordTable:
     fall together with a chance of about 2**-120 a pair. Strings over ``MOST`` bytes aren't kept.
     """
 
-    MOST, LIMIT = 48, 2_000_000
+    MOST, LIMIT = 48, 1_200_000
     _r = np.random.default_rng(20_240_229)
     BYTE = _r.integers(0, 1 << 64, (2, 256), np.uint64)
     PLACE = _r.integers(0, 1 << 64, (2, MOST + 1), np.uint64) | np.uint64(1)
