@@ -318,6 +318,27 @@ def test_contamination_in_blocks(spark, docs, monkeypatch):
     assert {tuple(r) for r in decontaminate.contaminated(docs, bench).collect()} == one
 
 
+def test_items_are_partitioned_by_size():
+    word = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    items = decontaminate.Items([(1, word(1, 7)), (2, word(2, 34)), (3, word(3, 304)), (4, word(4, 3)), (5, word(2, 34))], 5, 0.8)
+    sizes = {run: {p.bound: len(p.keys) for p in own.values()} for run, own in items.partitions.items()}
+    # 3, 30 and 300 shingles lie in partitions of bounds 4, 32 and 512, whose sketches have floor(bound / 5) + 1 hashes
+    assert sizes == {5: {4: 1, 32: 7, 512: 103}, 3: {1: 1}}
+    assert {p.least for p in items.partitions[5].values()} == {3, 24, 240}
+
+
+def test_contamination_edges(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five six"), (None, "a b"), (3, None)], "item_id long, text string")
+    rows = [(None, "x one two three four five six", "p"), (7, "a b", "q"), (7, "a b", "q"), (8, None, "r"), (9, "", "s")]
+    own = spark.createDataFrame(rows, "doc_id long, text string, row_no string")
+    want = sorted([(None, 1, 2, 2)] * 2 + [(7, None, 1, 1)] * 2, key=str)
+    for limit in (decontaminate.BLOCK_BYTES, 128):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", limit)
+        assert sorted((tuple(r) for r in decontaminate.contaminated(own, bench).collect()), key=str) == want
+        rest = decontaminate.decontaminate(own, bench)
+        assert rest.columns == own.columns and sorted(r["doc_id"] for r in rest.collect()) == [8, 9]
+
+
 # ---------------------------------------------------------------- 6
 
 
@@ -414,6 +435,36 @@ def test_mixture(docs, rows, empty):
     assert by_id(mixing.mix(docs)) == found and mixing.mix(empty).count() == mixing.mixed_documents(empty).count() == 0
 
 
+def test_mixture_of_more_sources_than_a_group(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 7)
+    monkeypatch.setattr(mixing, "SENT", 20)
+    rng = random.Random(8)
+    rows = [(i, " ".join("w" for _ in range(rng.choice([3, 40, 900]))), None if i % 41 == 40 else f"s{i % 41:02d}") for i in range(200)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found, again = mixing.mix(own).collect(), mixing.mix(own.repartition(5)).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, again))
+    names = sorted({r[2] for r in rows}, key=lambda x: (x is None, x or ""))
+    total = {s: sum(len(r[1].split()) for r in rows if r[2] == s) for s in names}
+    want = dict(zip(names, mixing.targets(list(total.values()), [(1, 2, 3)[i % 3] for i in range(len(names))]), strict=True))
+    taken, of = Counter(), {r[0]: r[2] for r in rows}
+    for r in found:
+        assert r["target"] == pytest.approx(want[of[r["doc_id"]]]) and 0 <= r["taken"] <= 3 * r["size"]
+        taken[of[r["doc_id"]]] += r["taken"]
+    assert len(names) == 41 and all(abs(taken[s] - want[s]) <= 2 * mixing.BLOCK for s in names)
+    mixture = mixing.Mixture(C.pin(mixing.word_counts(own, []), "sizes"))
+    shards = Counter(r["shard"] for r in mixture.plan.collect())
+    assert len(shards) == mixing.SHARDS and max(shards.values()) - min(shards.values()) <= 1
+
+
+def test_mixture_edges(spark):
+    rows = [(None, "a b c", "x", 1, 2), (None, "a b c", "x", 1, 2), (3, "d e", None, 1, 2), (3, "d  e", None, 1, 2), (4, None, "y", 1, 2), (5, "", "z", 1, 2)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, source string, __doc int, row int")
+    got = sorted((tuple(r) for r in mixing.mix(own).collect()), key=str)
+    assert got == sorted((tuple(r) for r in mixing.mix(own.repartition(3)).collect()), key=str) and len(got) == 6
+    mixed = mixing.mixed_documents(own)
+    assert mixed.columns == own.columns and all((r["__doc"], r["row"]) == (1, 2) for r in mixed.collect())
+
+
 # ---------------------------------------------------------------- 9
 
 
