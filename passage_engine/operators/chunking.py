@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from passage_engine.config import DEFAULTS, Defaults
 from passage_engine.functions import text as T
+from passage_engine.sources import tables
 
 ORDER = ["source_file", "page", "segment_ord", "window_ord"]
 
@@ -75,15 +76,34 @@ def all_classic(pages: DataFrame, d: Defaults = DEFAULTS) -> DataFrame:
     return fixed(pages, d.fixed_size, d.fixed_overlap).unionByName(structure(pages, d.fixed_size, d.fixed_overlap)).unionByName(sliding(pages, d.window, d.stride))
 
 
+RUNS = 64
+
+
+def _range_of(files: DataFrame, name: str) -> Column:
+    """Number of the range of names that ``name`` lies in: ``RUNS`` ranges of about as many names each, cut by a sample of names.
+
+    The sample only places the cuts; every name has its range whatever the sample holds.
+    """
+    n = files.count()
+    if n <= RUNS * RUNS:
+        return F.lit(0)
+    share = min(1.0, 20 * RUNS / n)
+    seen = sorted({r[0] for r in files.select(name).sample(share, 1).collect() if r[0] is not None}, key=lambda x: x.encode())  # about 20 * RUNS names
+    cuts = seen[len(seen) // RUNS :: max(1, len(seen) // RUNS)]
+    return sum((F.coalesce(F.col(name) >= F.lit(c), F.lit(False)).cast("int") for c in cuts), F.lit(0))
+
+
 def numbered(chunks: DataFrame) -> DataFrame:
     """``chunk_ord``: place of a chunk in its collection and pipeline, in order of ``ORDER``.
 
-    A collection's chunks never meet in one task: chunks are numbered within their file, files within a run of
-    names with the same beginning, and runs within the collection, from counts.
+    Chunks are read twice, the first time for the files' counts, which are written; a caller with a large corpus hands
+    in written chunks, so that nothing is cut twice and counts read no texts. A collection's chunks never meet in one
+    task: chunks are numbered within their file, files within ``RUNS`` ranges of names, ranges within the collection.
     """
     own = ["collection_id", "pipeline"]
-    run = F.substring("source_file", 1, 3)
-    files = chunks.groupBy(*own, "source_file").agg(F.count("*").alias("n")).withColumn("run", run)
+    counted = tables.pin(chunks.groupBy(*own, "source_file").agg(F.count("*").alias("n")), "files")
+    run = _range_of(counted, "source_file")
+    files = counted.withColumn("run", run)
     runs = files.groupBy(*own, "run").agg(F.sum("n").alias("n"))
     before = Window.partitionBy(*own).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(*own, "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from passage_engine.functions import text as T
 from passage_engine.operators.topk import check_k, top_k
+from passage_engine.sources import tables
 
 OWN = ["collection_id", "pipeline"]
 DIGITS = 6  # scores are rounded before they are ranked, so that the order of a sum doesn't decide a tie
@@ -26,10 +27,10 @@ def term_stats(tf: DataFrame, chunks: DataFrame, own: list[str] = OWN) -> DataFr
 
 
 def postings(tf: DataFrame, stats: DataFrame, own: list[str] = OWN) -> DataFrame:
-    """Weights of the terms of each chunk, as unit vectors."""
+    """Weights of the terms of each chunk, as unit vectors. ``tf`` is read twice: norms come from a hash aggregate, so no posting is sorted by chunk."""
     raw = tf.join(stats, [*own, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*own, "chunk_ord")))
-    return raw.withColumn("weight", F.col("w") / norm).select(*own, "chunk_ord", "term", "tf", "weight")
+    norms = raw.groupBy(*own, "chunk_ord").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return raw.join(norms, [*own, "chunk_ord"]).withColumn("weight", F.col("w") / F.col("norm")).select(*own, "chunk_ord", "term", "tf", "weight")
 
 
 def chunk_norms(tf: DataFrame, stats: DataFrame, own: list[str] = OWN) -> DataFrame:
@@ -43,7 +44,7 @@ def question_vectors(questions: DataFrame, stats: DataFrame, stop_words: frozens
     tf = each.groupBy("question_idx", "term").agg(F.count("*").alias("tf"))
     raw = stats.join(tf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*own, "question_idx")))
-    return raw.withColumn("q", F.col("w") / norm).select(*own, "question_idx", "term", "q")
+    return raw.withColumn("q", F.col("w") / norm).select(*own, "question_idx", "term", "q", "idf")
 
 
 def retrieve(index: DataFrame, stats: DataFrame, chunks: DataFrame, questions: DataFrame, k: int, stop_words: frozenset[str] | None = None, own: list[str] = OWN) -> DataFrame:
@@ -58,13 +59,13 @@ def retrieve(index: DataFrame, stats: DataFrame, chunks: DataFrame, questions: D
 
 
 def retrieve_unindexed(tf: DataFrame, stats: DataFrame, chunks: DataFrame, questions: DataFrame, k: int, stop_words: frozenset[str] | None = None, own: list[str] = OWN) -> DataFrame:
-    """The same from term frequencies: weights are divided by the chunk's norm after they are summed, so no row of the
-    index is sorted or moved but once, by term."""
+    """The same from term frequencies (a table): only the questions' terms are weighted one by one, and divided by the chunk's
+    norm after they are summed. The question vectors are written first, so that their size decides how they are joined."""
     check_k(k)
-    raw = tf.join(stats, [*own, "term"]).select(*own, "chunk_ord", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = raw.groupBy(*own, "chunk_ord").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = raw.join(question_vectors(questions, stats, stop_words, own), [*own, "term"]).groupBy("question_idx", *own, "chunk_ord").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
-    return ranked(dots.join(norms, [*own, "chunk_ord"]).withColumn("score", F.col("dot") / F.col("norm")), chunks, questions, k, own)
+    asked = tables.pin(question_vectors(questions, stats, stop_words, own), "asked")
+    dots = tf.join(asked, [*own, "term"]).groupBy("question_idx", *own, "chunk_ord").agg(F.sum(F.col("tf") * F.col("idf") * F.col("q")).alias("dot"))
+    scored = dots.join(chunk_norms(tf, stats, own), [*own, "chunk_ord"])
+    return ranked(scored.withColumn("score", F.col("dot") / F.col("norm")), chunks, questions, k, own)
 
 
 def ranked(dots: DataFrame, chunks: DataFrame, questions: DataFrame, k: int, own: list[str] = OWN) -> DataFrame:

@@ -21,7 +21,7 @@ def build_chunks(pages: DataFrame, defaults: Defaults = DEFAULTS, dense_pipeline
     cut = chunking.all_classic(pages, defaults)
     for name in dense_pipelines:
         cut = cut.unionByName(chunking.semantic(pages, defaults.fixed_size, defaults.fixed_overlap, name))
-    return chunking.numbered(cut)
+    return chunking.numbered(tables.pin(cut, "cut"))
 
 
 def search(chunks: DataFrame, questions: DataFrame, k: int = DEFAULTS.top_k, stop_words: frozenset[str] | None = None) -> DataFrame:
@@ -54,7 +54,7 @@ class Engine:
         return self.ingest_pages(pages)
 
     def ingest_pages(self, pages: DataFrame) -> DataFrame:
-        chunks = tables.pin(chunking.numbered(chunking.all_classic(pages, self.defaults)), "chunks")
+        chunks = tables.pin(build_chunks(pages, self.defaults), "chunks")
         sparse.require_terms(chunks.select(F.explode(T.terms(F.col("text"))).alias("term")))
         writers.store(chunks, self.data, "chunks", ["chunk_ord"])
         collections = tables.pin(pages.select("collection_id").distinct(), "collections")
@@ -74,7 +74,8 @@ class Engine:
         return done.withColumn("error", F.lit(None).cast("string")).unionByName(notes, allowMissingColumns=True)
 
     def _ingest_dense(self, pages: DataFrame, name: str, embedder: Embedder) -> None:
-        chunks = chunking.numbered(chunking.semantic(pages, self.defaults.fixed_size, self.defaults.fixed_overlap, name))
+        cut = tables.pin(chunking.semantic(pages, self.defaults.fixed_size, self.defaults.fixed_overlap, name), "cut")
+        chunks = tables.pin(chunking.numbered(cut), "chunks")
         vectors = dense.embed(chunks, "text", embedder).select("collection_id", "pipeline", "chunk_ord", "embedding", "norm")
         writers.store(vectors, self.data, "chunk_vectors", ["chunk_ord"])  # first, so that no chunks stand without vectors
         writers.store(chunks, self.data, "chunks", ["chunk_ord"])

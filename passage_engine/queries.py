@@ -17,7 +17,7 @@ from passage_engine.operators import answers, chunking, dense, evaluation, groun
 from passage_engine.operators.topk import top_k
 from passage_engine.plans import engine
 from passage_engine.providers import HashEmbedder, OverlapJudge, ScriptedModel
-from passage_engine.sources import tables
+from passage_engine.sources import readers, tables, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -238,14 +238,14 @@ def term_stats_idf(spark, sf):
 @query(f"WITH {FIXED}, {INDEX} SELECT collection_id, pipeline, chunk_ord, round(sqrt(sum((tf * idf) ** 2)), 6) AS norm FROM tf JOIN stats USING (collection_id, pipeline, term) GROUP BY ALL")
 def chunk_norms(spark, sf):
     chunks = _fixed(spark, sf)
-    tf = sparse.term_frequency(chunks)
+    tf = tables.pin(sparse.term_frequency(chunks), "tf")
     return sparse.chunk_norms(tf, sparse.term_stats(tf, chunks)).withColumn("norm", F.round("norm", 6))
 
 
 @query(f"WITH {FIXED}, {INDEX} SELECT collection_id, pipeline, chunk_ord, term, tf, round(weight, 6) AS weight FROM post")
 def postings(spark, sf):
     chunks = _fixed(spark, sf)
-    tf = sparse.term_frequency(chunks)
+    tf = tables.pin(sparse.term_frequency(chunks), "tf")
     return sparse.postings(tf, sparse.term_stats(tf, chunks)).withColumn("weight", F.round("weight", 6))
 
 
@@ -275,6 +275,38 @@ def retrieve_zero_fill(spark, sf):
     return engine.search(_fixed(spark, sf), _questions(spark, sf).unionByName(unknown), 9)
 
 
+# ---------------------------------------------------------------- sinks and scans
+
+
+@query(f"WITH {ALL} SELECT {SHOWN} FROM chunks")
+def chunk_store_round_trip(spark, sf):
+    """Chunks of all pipelines written into the partitioned store and scanned again."""
+    data = tables.new_path(spark, "index")
+    writers.store(_chunks(spark, sf), data, "chunks", ["chunk_ord"])
+    return _shown(readers.chunk_store(spark, data)).select("collection_id", "pipeline", "chunk_ord", "source_file", "page", "start", "end", "section_title", "text_md5")
+
+
+@query(f"WITH {FIXED}, {INDEX} SELECT collection_id, pipeline, chunk_ord, term, tf, round(weight, 6) AS weight, df, round(idf, 6) AS idf FROM post JOIN stats USING (collection_id, pipeline, term)")
+def sparse_index_round_trip(spark, sf):
+    """Postings and term statistics written into the store, scanned again and joined."""
+    data, chunks = tables.new_path(spark, "index"), _fixed(spark, sf)
+    tf = tables.pin(sparse.term_frequency(chunks), "tf")
+    stats = tables.pin(sparse.term_stats(tf, chunks), "stats")
+    writers.store(stats, data, "term_stats", ["term"])
+    writers.store(sparse.postings(tf, stats), data, "postings", ["term"])
+    index, kept = readers.sparse_index(spark, data, pipelines=["fixed"])
+    own = index.join(kept, ["collection_id", "pipeline", "term"])
+    return own.select("collection_id", "pipeline", "chunk_ord", "term", "tf", F.round("weight", 6).alias("weight"), "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {PAIRS} SELECT question, answer, count(*) AS n FROM qa GROUP BY ALL")
+def ground_truth_round_trip(spark, sf):
+    """Pairs written as JSON lines and scanned as ground truth."""
+    path = tables.new_path(spark, "truth")
+    writers.json_lines(_qa(spark, sf).select("question", "answer"), path)
+    return readers.ground_truth(spark, path).groupBy("question", "answer").agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- dense index
 
 

@@ -401,3 +401,15 @@ def test_ingest_indexes_every_collection(spark, tmp_path, monkeypatch):
     assert {r["collection_id"] for r in own.ingest_pages(pages).collect()} == {"cat", "dog", "owl"}
     for name in ("term_stats", "postings"):
         assert {r[0] for r in spark.read.parquet(f"{own.data}/{name}").select("collection_id").distinct().collect()} == {"cat", "dog", "owl"}
+
+
+def test_numbering_over_ranges_of_names(spark, monkeypatch):
+    from passage_engine.operators import chunking
+
+    rows = [("c" if i % 3 else "d", f"doc{i:03d}" + "é" * (i % 2), 1, " ".join(["w"] * (i % 7 * 3))) for i in range(60)]
+    cut = chunking.fixed(spark.createDataFrame(rows, "collection_id string, source_file string, page int, text string"), 5, 1)
+    plain = sorted(map(tuple, chunking.numbered(cut).collect()))
+    monkeypatch.setattr(chunking, "RUNS", 4)
+    assert sorted(map(tuple, chunking.numbered(cut).collect())) == plain
+    own = [r for r in plain if r[0] == "c"]
+    assert [r[2] for r in own] == list(range(len(own))) and [r[3] for r in own] == sorted(r[3] for r in own)
