@@ -3,7 +3,8 @@
 A window is a run of ``size`` words of one document. A word goes if a window that covers it also starts in a
 document with a smaller doc_id.
 
-The documents are dealt once, by a hash of doc_id, into *blocks* of bounded size; that exchange serves all passes.
+The documents are dealt once, by a hash of doc_id and text, into *blocks* of bounded size; that exchange serves all
+passes. Rows of one doc_id may lie in several blocks: blocks are compared by the least doc_id of a window alone.
 
 1. Each block sketches its distinct windows: ``DEPTH`` rows of hashed cells, sorted and delta-packed, cut by cell
    range. Equal ranges of all blocks meet and are merged to saturating counts; each block gets one bit for each of
@@ -13,8 +14,9 @@ The documents are dealt once, by a hash of doc_id, into *blocks* of bounded size
 3. Each block marks the words covered by windows with a smaller doc_id in the block or elsewhere.
 
 A window sends one entry a block however many documents hold it, so a passage in a third of all documents stays
-small. No sketch is broadcast or collected: the merged sketch lives in ranges of ``range_entries`` entries, which
-grow with the square root of the corpus, as the blocks do. Null texts have no words; repeated rows share a doc_id
+small. No sketch is broadcast or collected: the merged sketch lives in ranges of a 48th of the corpus's words, between
+2**16 and 2**26 entries (``Plan``); blocks grow with the square root of the corpus from 1.5 to 64 MB. Beyond about
+20 GB the number of ranges grows, and beyond 1 TB that of blocks, not their sizes. Null texts have no words; repeated rows share a doc_id
 and don't remove each other; a null doc_id is smaller than all others. Other columns are not read.
 """
 
@@ -224,8 +226,8 @@ def remove_substrings(docs: DataFrame, size: int = 13, texts: bool = False) -> D
     block_bytes = min(max(2e6 * math.sqrt(n_bytes / 1e9), 1.5e6), 64e6)
     n_blocks = max(1, min(n_docs, math.ceil(n_bytes / block_bytes)))
     plan = Plan(max(1, n_bytes // 6), size)
-    # rows without an id are told apart by their texts, so that they don't gather in one block
-    dealt = source.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text")), F.lit(6)), F.lit(n_blocks)))
+    # by text as well, so that rows that share an id, or have none, don't gather in one block
+    dealt = source.withColumn("block", F.pmod(F.xxhash64(F.lit(6), "doc_id", "text"), F.lit(n_blocks)))
     block = dealt.groupBy("block")
     merged = block.applyInPandas(_sketches(plan), CELLS).groupBy("part").applyInPandas(_merge(plan), BITS)
     entries = block.cogroup(merged.groupBy("block")).applyInPandas(_entries(plan), CELLS)
