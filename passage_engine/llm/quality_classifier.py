@@ -124,7 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(run, "id long, y double, x array<double>")
-    found = sorted((r[0], r[1], tuple(r[2])) for r in rows.dropDuplicates(["id"]).collect())  # ``sample`` rows of statistics
+    # of several texts of one id, that with the least statistics: no chance in it
+    own = rows.groupBy("id").agg(F.min(F.struct("y", "x")).alias("v"))
+    found = sorted((r[0], r[1]["y"], tuple(r[1]["x"])) for r in own.collect())  # ``sample`` rows of statistics
     return fit(np.array([r[2] for r in found]).reshape(len(found), len(FEATURES)), np.array([r[1] for r in found]))
 
 

@@ -63,6 +63,27 @@ def test_windows_by_position():
         assert len(w) == 51 - size and (C.windows(h[9:], size) == w[9:]).all() and len(set(w.tolist())) == len(w)
 
 
+def test_blocks_of_texts_beyond_the_limit():
+    texts = ["a" * 10, None, "é" * 2_000_000, "", "b" * 3_000_000, "c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["id", "text"])
+    parts = [x.column("id").to_pylist() for x in C.text_blocks(iter([batch]))]
+    assert sum(parts, []) == list(range(6)) and all(len(x) == 1 or sum(len((texts[i] or "").encode()) for i in x) <= 2 << 20 for x in parts)
+    assert C.as_bytes(batch.column("text"))[1] == b""
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(400_000))  # beyond text_blocks' limit
+    own = spark.createDataFrame([(1, long), (2, long + " and more"), (3, "short one"), (4, long[:1_000_000])], "doc_id long, text string")
+    found = by_id(near_dedup.near_duplicates(own))
+    assert len(long) > 2 << 20 and {i: x["component_id"] for i, x in found.items()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    item = " ".join(long.split()[-40:])
+    assert [tuple(r)[:2] for r in decontaminate.contaminated(own, spark.createDataFrame([(9, item)], "item_id long, text string")).orderBy("doc_id").collect()] == [(1, 9), (2, 9)]
+    removed = by_id(substring_dedup.remove_substrings(own))
+    assert removed[1]["n_removed"] == 0 and removed[2]["n_removed"] == 400_000 and removed[2]["n_words"] == 400_002
+    assert by_id(mixing.word_counts(own.withColumn("source", F.lit("s")), []))[1]["size"] == 400_000
+
+
 def test_prefix_sums_with_ties_and_nulls(spark):
     rng = random.Random(1)
     data = [(rng.choice([None, *range(40)]), i, rng.randint(0, 9), rng.choice([None, "a", "b"])) for i in range(300)]
@@ -501,6 +522,39 @@ def test_classifier_without_labels(spark, docs, empty):
     assert quality_classifier.score(empty, trees).count() == 0
 
 
+def test_first_split_is_brute_force(monkeypatch):
+    monkeypatch.setattr(quality_classifier, "TREES", 1)
+    monkeypatch.setattr(quality_classifier, "DEPTH", 1)
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 40, size=(300, 3)).astype(float), rng.integers(0, 2, 300).astype(float)
+    y[x[:, 1] > 25] = 1
+    trees = quality_classifier.fit(x, y)
+    g, h = y.mean() - y, np.full(len(y), y.mean() * (1 - y.mean()))
+    of = lambda at: g[at].sum() ** 2 / (h[at].sum() + 1)
+    gains = {}
+    for f in range(3):
+        for c in np.unique(x[:, f]):
+            low = x[:, f] <= c
+            if min(low.sum(), (~low).sum()) >= quality_classifier.LEAST:
+                gains[f, c] = of(low) + of(~low) - of(np.ones(len(y), bool))
+    f, c = int(trees.feature[0, 0]), float(trees.cut[0, 0])
+    low = x[:, f] <= c  # all 40 values are bins, so no split is better than the best of all
+    assert of(low) + of(~low) - of(np.ones(len(y), bool)) == pytest.approx(max(gains.values()))
+    assert trees.value[0].tolist() == pytest.approx([-quality_classifier.RATE * g[a].sum() / (h[a].sum() + 1) for a in (low, ~low)])
+
+
+def test_classifier_edges(spark):
+    rows = [(1, "good words here", "x"), (1, "other text of the same id", "x"), (2, "bad # # #", "y"), (2, "bad # # #", "y"), (None, None, "z"), (3, "", "z"), (4, None, "z")]
+    own = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    a, b = (quality_classifier.train(d, labels) for d in (own, own.repartition(4)))
+    assert (a.base, a.cut.tolist(), a.value.tolist()) == (b.base, b.cut.tolist(), b.value.tolist())
+    got = quality_classifier.score(own, a).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    assert not [r for r in got if r["doc_id"] is None][0]["held_out"]
+    assert quality_classifier.score(own, quality_classifier.train(own.limit(0), labels)).count() == len(rows)
+
+
 def test_flat_trees_walk_like_branches():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 4))
