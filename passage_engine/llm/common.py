@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from passage_engine.sources.tables import new_path, pin, remove_pinned, shared_dir  # noqa: F401
+from passage_engine.sources.tables import NO_CHILDREN, new_path, pin, remove_pinned, shared_dir  # noqa: F401
 
 U64 = np.uint64
 #: Words are runs of anything but the six ASCII white-space bytes; ``bytes.split()`` cuts at exactly these.

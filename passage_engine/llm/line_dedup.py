@@ -29,6 +29,10 @@ from passage_engine.llm import similarity
 
 CHARS, BANDS, ROWS, PERCENT = 8, 10, 3, 80
 SPACE = r"\x20\x09-\x0D"
+#: Bytes of lines that are hashed at once: few enough for a core's cache.
+AT_ONCE = 1 << 17
+#: Bits that tell wanted lines from others, for each wanted one and in all (16 MB).
+SIFT, MOST_BITS = 16, 1 << 27
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -67,13 +71,14 @@ def shingle_runs(column: pa.Array, chars: int = CHARS) -> tuple[np.ndarray, np.n
 
 def shingler(chars: int = CHARS):
     def sets(column: pa.Array) -> list[np.ndarray]:
-        h, first = shingle_runs(column, chars)
         out = []
-        for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
-            own = np.sort(h[a:b])
-            new = np.ones(b - a, bool)
-            np.not_equal(own[1:], own[:-1], out=new[1:])
-            out.append(own[new])
+        for block in C.text_blocks(iter([pa.RecordBatch.from_arrays([column], ["line"])]), "line", AT_ONCE):
+            h, first = shingle_runs(block.column("line"), chars)
+            for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
+                own = np.sort(h[a:b])
+                new = np.ones(b - a, bool)
+                np.not_equal(own[1:], own[:-1], out=new[1:])
+                out.append(own[new])
         return out
 
     return lambda: sets
@@ -83,7 +88,7 @@ def signer(chars: int, bands: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = C.mix(np.arange(1, bands + 1, dtype=np.uint64))
         factors = (C.mix(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
-        for batch in C.text_blocks(batches, "line", 1 << 20):
+        for batch in C.text_blocks(batches, "line", AT_ONCE):
             h, first = shingle_runs(batch.column("line"), chars)
             low, keys = (h >> np.uint64(32)).astype(np.uint32), []
             for k in range(bands):
@@ -97,12 +102,27 @@ def signer(chars: int, bands: int, rows: int):
     return sign
 
 
+def sifted(own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``own`` without most rows whose ``ha`` isn't in ``wanted``, before any of them moves; others stay, so a join must follow.
+
+    ``SIFT`` bits for each row of ``wanted``, ``MOST_BITS`` at most, are broadcast as bitmaps of 4 KB.
+    """
+    bits = min(MOST_BITS, max(1 << 20, 1 << (SIFT * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64(F.lit(17), "ha"), F.lit(bits))
+    maps = wanted.select(F.shiftright(place, 15).alias("map"), place.bitwiseAND((1 << 15) - 1).alias("bit")).groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    placed = own.select("*", F.shiftright(place, 15).alias("map"), place.bitwiseAND((1 << 15) - 1).cast("int").alias("bit"))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright("bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    on = F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.col("bit").bitwiseAND(7))), F.lit(2)) == 1
+    found = placed.join(F.broadcast(maps), "map").where(on)
+    return found.select(*own.columns)
+
+
 def line_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, chars: int = CHARS) -> DataFrame:
     """(doc_id, line_no, rep_doc_id, rep_line_no, kept) of every line with a word; the rep is the component's kept line."""
     C.bound_batches(docs.sparkSession)
     own = lines(docs).select("doc_id", "line_no", F.xxhash64("line").alias("ha"), F.xxhash64(F.lit(11), "line").alias("hb"), "line")
     schema = "doc_id long, line_no int, ha long, hb long, " + ", ".join(f"b{k} long" for k in range(bands))
-    signed = C.pin(own.mapInArrow(signer(chars, bands, rows), schema), "signed")
+    signed = own.mapInArrow(signer(chars, bands, rows), schema)
     # (doc_id, line_no) as one number, which a hash aggregate can keep: null doc_ids below all others
     place = F.coalesce(F.col("doc_id").cast("decimal(30,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(30,0)")) * F.lit(1 << 32).cast("decimal(30,0)") + F.col("line_no")
     nodes = signed.groupBy("ha", "hb").agg(F.min(place.cast("decimal(38,0)")).alias("place"), *[F.min(f"b{k}").alias(f"b{k}") for k in range(bands)])
@@ -114,17 +134,18 @@ def line_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
     member = nodes.select("id", F.explode(F.array(*[f"b{k}" for k in range(bands)])).alias("key")).select("key", "id")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        wanted = nodes.join(ids, "id", "left_semi").select("id", "ha", "hb", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("n"))
-        on = own["doc_id"].eqNullSafe(wanted["d"]) & (own["line_no"] == wanted["n"]) & (own["ha"] == wanted["ha"]) & (own["hb"] == wanted["hb"])
-        return own.join(wanted, on).select("id", F.col("line").alias("text"))
+        wanted = C.pin(nodes.join(ids, "id", "left_semi").select("id", "ha", "hb", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("n")), "wanted")
+        some = sifted(own, wanted)
+        on = some["doc_id"].eqNullSafe(wanted["d"]) & (some["line_no"] == wanted["n"]) & (some["ha"] == wanted["ha"]) & (some["hb"] == wanted["hb"])
+        return some.join(wanted, on).select("id", F.col("line").alias("text"))
 
-    labels = similarity.components(member, texts_of, shingler(chars), percent)
+    labels = similarity.components(member, texts_of, shingler(chars), percent, sketched=True)
     # of each line: its own first occurrence, or that of its component
     plain = nodes.select("ha", "hb", "id", "first").join(labels, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
     several = labels.select("root").distinct()
     least = C.pin(plain.join(several, "root", "left_semi").groupBy("root").agg(F.min("first").alias("rep")), "reps")
     classes = C.pin(plain.join(least, "root", "left").select("ha", "hb", F.coalesce("rep", "first").alias("rep")), "classes")
-    out = signed.select("doc_id", "line_no", "ha", "hb").join(classes, ["ha", "hb"])
+    out = own.select("doc_id", "line_no", "ha", "hb").join(classes, ["ha", "hb"])
     out = out.select("doc_id", "line_no", F.col("rep.doc_id").alias("rep_doc_id"), F.col("rep.line_no").alias("rep_line_no"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("rep_doc_id")) & (F.col("line_no") == F.col("rep_line_no")))
 

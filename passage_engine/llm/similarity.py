@@ -17,6 +17,12 @@
 
 So no link within a bucket is lost. All comparisons are of full sets, as 64-bit
 hashes of the shingles.
+
+With ``sketched``, each set also gets an *odd sketch*: ``64 * SKETCH`` parities of its members by a hash. Two sketches differ
+in at most as many places as the sets have members that aren't common, so ``near`` rules pairs out exactly and before any
+text moves. Then open buckets with more than ``FEW`` members outside their largest component take ``ROUNDS`` more hubs, those
+with up to ``FEW`` are settled by all pairs of these members with the rest of the bucket, most of which the sketches rule out,
+and only the others go through steps 2 and 3.
 """
 
 from __future__ import annotations
@@ -27,12 +33,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from passage_engine.llm import common as C
 
 ROUNDS = 3
 CELLS = 1 << 16
 CHUNK, PART = 512, 2_048
+SKETCH, FEW = 8, 256
 
 #: Gives the sorted distinct shingle hashes of each text of a string column.
 Shingler = Callable[[pa.Array], list[np.ndarray]]
@@ -135,6 +143,62 @@ def possible(n: Column, p: Column, m: Column, q: Column, percent: int) -> Column
     return ((100 + percent) * both >= percent * (n + m)) & F.when(n < m, early(n, p)).when(n > m, early(m, q)).otherwise(early(n, p) & early(m, q))
 
 
+def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """[set, word]: parities of the members of each set in ``64 * SKETCH`` hashed cells, as bits."""
+    bits, out = 64 * SKETCH, [np.empty((0, SKETCH), np.uint64)]
+    for at in range(0, len(sets), 256):
+        part = sets[at : at + 256]
+        row = np.repeat(np.arange(len(part)), [len(x) for x in part])
+        cell = (C.mix(np.concatenate([*part, np.empty(0, np.uint64)]) ^ np.uint64(0x6A09E667F3BCC909)) % np.uint64(bits)).astype(np.int64)
+        odd = (np.bincount(row * bits + cell, minlength=len(part) * bits) & 1).astype(np.uint8)
+        out.append(np.packbits(odd, bitorder="little").view(np.uint64).reshape(-1, SKETCH))
+    return np.concatenate(out)
+
+
+def _sketcher(shingler: Callable[[], Shingler]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = shingler()
+        for batch in C.text_blocks(batches):
+            sets = make(batch.column("text"))
+            words = odd_sketches(sets)
+            cells = [pa.array(C.signed(words[:, k])) for k in range(SKETCH)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array([len(x) for x in sets], pa.int64()), *cells], ["id", "text", "n", *(f"s{k}" for k in range(SKETCH))])
+
+    return run
+
+
+def near(a: str, b: str, percent: int) -> Column:
+    """Whether the sets whose sizes and sketches are in the structs ``a`` and ``b`` can be alike: false only if they aren't."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
+
+
+def sketch(name: str) -> Column:
+    return F.struct("n", *[f"s{k}" for k in range(SKETCH)]).alias(name)
+
+
+def not_far(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` that sizes and sketches don't rule out."""
+    x, y = texts.select(F.col("id").alias("a"), sketch("x")), texts.select(F.col("id").alias("b"), sketch("y"))
+    return pairs.hint("merge").join(x, "a").hint("merge").join(y, "b").where(near("x", "y", percent)).select("a", "b").distinct()
+
+
+def minorities(rows: DataFrame) -> DataFrame:
+    """(key, most, outside) of buckets (key, id, root): the largest component, and how many members are outside it."""
+    counts = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    most = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"))
+    return most.select("key", F.col("m.root").alias("most"), (F.col("all") - F.col("m.n")).alias("outside"))
+
+
+def pairs_of_few(rows: DataFrame, few: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may be alike of members outside the largest component with all in others; ``few``: (key, most)."""
+    own = C.pin(rows.join(few, "key").hint("merge").join(texts.select("id", sketch("x")), "id"), "few")
+    other = own.select("key", F.col("id").alias("to"), F.col("root").alias("top"), F.col("x").alias("y"))
+    both = own.where("root <> most").hint("merge").join(other, "key").where((F.col("root") != F.col("top")) & near("x", "y", percent))
+    return both.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
+
+
 class Face:
     """Sets of one chunk, laid out so that a set's intersections with all of them are one gather and one sum."""
 
@@ -230,20 +294,54 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return C.pin(moved.unionByName(more.join(labels.select("node"), "node", "left_anti")), "labels")
 
 
-def components(member: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingler: Callable[[], Shingler], percent: int) -> DataFrame:
+def components(member: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingler: Callable[[], Shingler], percent: int, sketched: bool = False) -> DataFrame:
     """Components of the links within buckets, (node, root) as ``common.components`` gives them.
 
     ``member`` has the distinct (key, id) of all buckets; ``texts_of`` gives (id, text) for ids (id), read once;
-    an id may have several texts and is linked if one of them is.
+    an id may have several texts and is linked if one of them is. ``sketched``: rule pairs out by sketches first.
     """
-    hubs = C.pin(member.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub < most").select("key", "hub"), "hubs")
-    multi = C.pin(member.join(hubs, "key"), "buckets")
-    texts = C.pin(texts_of(multi.select("id").distinct()), "texts")
+    if sketched:  # one sort instead of an aggregate and a join
+        own = Window.partitionBy("key")
+        multi = member.select("key", "id", F.min("id").over(own).alias("hub"), F.max("id").over(own).alias("most")).where("hub < most")
+        multi = C.pin(multi.select("key", "id", "hub"), "buckets")
+    else:
+        hubs = C.pin(member.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub < most").select("key", "hub"), "hubs")
+        multi = C.pin(member.join(hubs, "key"), "buckets")
+    texts = texts_of(multi.select("id").distinct())
+    if sketched:
+        words = ", ".join(f"s{k} long" for k in range(SKETCH))
+        texts = texts.select("id", "text").mapInArrow(_sketcher(shingler), f"id long, text string, n long, {words}")
+    texts = C.pin(texts, "texts")
+    told = (lambda pairs: C.pin(not_far(pairs, texts, percent), "told")) if sketched else (lambda pairs: pairs)
     pairs = C.pin(multi.where("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    labels = C.components(C.pin(confirm(pairs, texts, shingler, percent), "links"))
+    labels = C.components(C.pin(confirm(told(pairs), texts, shingler, percent), "links"))
     rooted = lambda rows: rows.join(labels, F.col("id") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "id"))
     several = lambda rows, key: rows.groupBy(key).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(key)
     named = C.pin(rooted(multi.where("hub <> id").select("key", "id")), "named")
+    wide = multi.select("key", "id")
+    if sketched:
+        left = C.pin(named.join(several(named, "key"), "key"), "left")
+        sides = C.pin(minorities(left), "sides")
+        for salt in range(ROUNDS):
+            large = sides.where(F.col("outside") > FEW).select("key")
+            if large.isEmpty():
+                break
+            mine = left.join(large, "key")
+            hub = mine.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "key", "id").alias("by"), "id", "root")).alias("hub"))
+            pairs = mine.join(hub, "key").where(F.col("root") != F.col("hub.root")).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+            links = C.pin(confirm(told(C.pin(pairs, "pairs")), texts, shingler, percent), "links")
+            if not links.isEmpty():
+                labels = merged(labels, links)
+                named = C.pin(rooted(left.select("key", "id")), "named")
+                left = C.pin(named.join(several(named, "key"), "key"), "left")
+                sides = C.pin(minorities(left), "sides")
+        pairs = pairs_of_few(left, sides.where(F.col("outside") <= FEW).select("key", "most"), texts, percent)
+        links = C.pin(confirm(C.pin(pairs, "pairs"), texts, shingler, percent), "links")
+        if not links.isEmpty():
+            labels = merged(labels, links)
+        large = sides.where(F.col("outside") > FEW).select("key")
+        wide = C.pin(wide.join(large, "key"), "wide")
+        named = C.pin(rooted(left.join(large, "key").select("key", "id")), "named")
     still = C.pin(named.join(several(named, "key"), "key").select("id").distinct(), "open")
     if still.isEmpty():
         return labels
@@ -257,9 +355,9 @@ def components(member: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sh
             hub = fine.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "h", "id").alias("by"), "id", "root", "n", "p")).alias("hub"))
             near = (F.col("root") != F.col("hub.root")) & possible(F.col("n"), F.col("p"), F.col("hub.n"), F.col("hub.p"), percent)
             pairs = fine.join(hub, "h").where(near).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-            links = confirm(C.pin(pairs, "pairs"), texts, shingler, percent)
+            links = confirm(told(C.pin(pairs, "pairs")), texts, shingler, percent)
         else:
-            again = C.pin(rooted(multi.select("key", "id").join(fine.select("id").distinct(), "id")), "open")
+            again = C.pin(rooted(wide.join(fine.select("id").distinct(), "id")), "open")
             links = rest(again.join(several(again, "key"), "key"), texts, shingler, percent)
         links, fine = C.pin(links, "links"), fine.drop("root")
         if not links.isEmpty():

@@ -375,11 +375,11 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json"
         raise ValueError("ids don't fit in this width")
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encoder(tokenizer, end_id, width), RAW)
     raw = raw.repartition(C.n_partitions(spark), "route").sortWithinPartitions("route").mapInArrow(_first_of_each, RAW).drop("route")
-    raw.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/raw")
+    raw.write.partitionBy("kind").options(**C.NO_CHILDREN).option("compression", "zstd").parquet(f"{path}/raw")
     recipes = _raw(spark, path, 1).select("doc_id", F.col("n").alias("n_tokens"), "keys", "lens", "root")
     placed = C.prefix_sums(recipes, "doc_id", {"n_tokens": "start"}, ties=["root"])
-    placed.repartitionByRange(C.n_partitions(spark), "start").sortWithinPartitions("start").write.parquet(f"{path}/recipes")
-    _recipe_runs(spark, path).write.parquet(f"{path}/manifest")
+    placed.repartitionByRange(C.n_partitions(spark), "start").sortWithinPartitions("start").write.options(**C.NO_CHILDREN).parquet(f"{path}/recipes")
+    _recipe_runs(spark, path).write.options(**C.NO_CHILDREN).parquet(f"{path}/manifest")
     return path
 
 

@@ -1,10 +1,12 @@
 """Each operator against brute force on awkward rows: nulls, empty and long texts, ties, repeated rows, extra columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -135,6 +137,48 @@ def test_bucket_of_near_copies_and_strangers(spark, monkeypatch):
         assert not any(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in range(0, 10_000, 2) if j != i and found.get(j, j) != found.get(i, i))
 
 
+@pytest.mark.parametrize("few", [0, 2, 256])
+def test_sketches_rule_out_only_unlike_sets(spark, monkeypatch, few):
+    """Buckets of chains of alike sets and strangers: with sketches the same components, from far fewer compared texts."""
+    rng, sets, pairs = random.Random(5), {}, []
+    for i in range(120):
+        old = sets[i - 1] if i % 4 else {rng.randrange(1 << 40) for _ in range(rng.randint(1, 300))}
+        sets[i] = {x if rng.random() > 0.07 else rng.randrange(1 << 40) for x in old}
+    sets[200] = set()
+    words = similarity.odd_sketches([np.array(sorted(x), np.uint64) for x in sets.values()])
+    for (a, x), (b, y) in itertools.product(zip(sets.values(), words, strict=True), repeat=2):
+        assert sum(int(p ^ q).bit_count() for p, q in zip(x, y, strict=True)) <= len(a ^ b)
+    member = spark.createDataFrame([(k, i) for i in sets for k in (0, 1 + i % 3)], "key long, id long")
+    texts = spark.createDataFrame([(i, " ".join(map(str, sorted(s)))) for i, s in sets.items()], "id long, text string")
+    numbers = lambda: lambda column: [np.unique(np.array([int(x) for x in t.split()], np.uint64)) for t in column.to_pylist()]
+    root = {i: i for i in sets}
+    for a, b in itertools.combinations(sets, 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            root = {k: min(root[a], root[b]) if v in (root[a], root[b]) else v for k, v in root.items()}
+    whole = similarity.confirm
+    monkeypatch.setattr(similarity, "FEW", few)
+    monkeypatch.setattr(similarity, "confirm", lambda p, *a: pairs.append(p.count()) or whole(p, *a))
+    found = similarity.components(member, lambda ids: texts.join(ids, "id", "left_semi"), numbers, 80, sketched=True)
+    assert {r["node"]: r["root"] for r in found.collect()} == {k: v for k, v in root.items() if k != v}
+    assert sum(pairs) < len(sets) * 2
+
+
+def test_lines_are_sifted_before_they_move(spark):
+    own = spark.range(100_000).select(F.xxhash64("id").alias("ha"), "id")
+    wanted = own.where("id % 1000 = 0").select("ha")
+    some = {r["id"] for r in line_dedup.sifted(own, wanted).collect()}
+    assert some >= set(range(0, 100_000, 1000)) and len(some) < 2_000
+    assert line_dedup.sifted(own, wanted.limit(0)).count() == 0
+
+
+def test_tables_leave_no_checksum_files(spark):
+    """Hadoop starts chmod for a file and its checksum file; each start counts the executor's memory twice."""
+    found = C.pin(spark.range(100).repartition(3), "plain")
+    path = token_store.write_store(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), C.new_path(spark, "store"))
+    folders = [Path(found.inputFiles()[0].removeprefix("file://")).parent, Path(path.removeprefix("file:"))]
+    assert found.count() == 100 and all(any(d.rglob("*.parquet")) and not any(d.rglob("*.crc")) for d in folders)
+
+
 # ---------------------------------------------------------------- 1
 
 
