@@ -179,6 +179,14 @@ def test_tables_leave_no_checksum_files(spark):
     assert found.count() == 100 and all(any(d.rglob("*.parquet")) and not any(d.rglob("*.crc")) for d in folders)
 
 
+def test_mixing_starts_no_chmod(spark, docs):
+    folder = Path(C.shared_dir(spark).removeprefix("file:"))
+    before = set(folder.rglob("*.parquet"))
+    assert mixing.mix(docs).count() == docs.count()
+    made = {f for f in folder.rglob("*.parquet") if f not in before and f.is_file()}
+    assert made and not any(f.with_name(f".{f.name}.crc").exists() for f in made)
+
+
 # ---------------------------------------------------------------- 1
 
 
