@@ -20,9 +20,8 @@ hashes of the shingles.
 
 With ``sketched``, each set also gets an *odd sketch*: ``64 * SKETCH`` parities of its members by a hash. Two sketches differ
 in at most as many places as the sets have members that aren't common, so ``near`` rules pairs out exactly and before any
-text moves. Then open buckets with more than ``FEW`` members outside their largest component take ``ROUNDS`` more hubs, those
-with up to ``FEW`` are settled by all pairs of these members with the rest of the bucket, most of which the sketches rule out,
-and only the others go through steps 2 and 3.
+text moves. Then open buckets with up to ``FEW`` members outside their largest component are settled by all pairs of these
+with the rest of the bucket, most of which the sketches rule out, and only the others go through steps 2 and 3.
 """
 
 from __future__ import annotations
@@ -40,7 +39,7 @@ from passage_engine.llm import common as C
 ROUNDS = 3
 CELLS = 1 << 16
 CHUNK, PART = 512, 2_048
-SKETCH, FEW = 8, 256
+SKETCH, FEW = 8, 64
 
 #: Gives the sorted distinct shingle hashes of each text of a string column.
 Shingler = Callable[[pa.Array], list[np.ndarray]]
@@ -322,19 +321,6 @@ def components(member: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sh
     if sketched:
         left = C.pin(named.join(several(named, "key"), "key"), "left")
         sides = C.pin(minorities(left), "sides")
-        for salt in range(ROUNDS):
-            large = sides.where(F.col("outside") > FEW).select("key")
-            if large.isEmpty():
-                break
-            mine = left.join(large, "key")
-            hub = mine.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "key", "id").alias("by"), "id", "root")).alias("hub"))
-            pairs = mine.join(hub, "key").where(F.col("root") != F.col("hub.root")).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-            links = C.pin(confirm(told(C.pin(pairs, "pairs")), texts, shingler, percent), "links")
-            if not links.isEmpty():
-                labels = merged(labels, links)
-                named = C.pin(rooted(left.select("key", "id")), "named")
-                left = C.pin(named.join(several(named, "key"), "key"), "left")
-                sides = C.pin(minorities(left), "sides")
         pairs = pairs_of_few(left, sides.where(F.col("outside") <= FEW).select("key", "most"), texts, percent)
         links = C.pin(confirm(C.pin(pairs, "pairs"), texts, shingler, percent), "links")
         if not links.isEmpty():
