@@ -302,6 +302,45 @@ def test_line_dedup_reads_every_character(spark, docs, rows, tmp_path):
     assert [found[10_000 + k, 0]["kept"] for k in range(len(extra))] == [True] * 9 + [False, True, False, True, True]
 
 
+def test_line_dedup_of_near_copies_and_strangers_is_native(spark, monkeypatch):
+    """400 near copies, not all alike, and 100 strangers with a common passage: exact components from few pairs, without Python workers."""
+    rng, pairs = random.Random(9), []
+    base = prose(rng, 60).split()
+    texts = [" ".join(w if rng.random() > 0.05 else "".join(rng.choice("abcdefgh") for _ in w) for w in base) for _ in range(400)]
+    texts += [" ".join(base[:25]) + " " + prose(rng, 35) for _ in range(100)]
+    sets = [{x[k : k + 8] for k in range(len(x) - 7)} for x in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+
+    def python(self, *a, **b):
+        raise AssertionError("Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(spark.range(1)), name, python)
+    whole = line_dedup.confirmed
+    monkeypatch.setattr(line_dedup, "confirmed", lambda p, *a: pairs.append(p.count()) or whole(p, *a))
+    # one document twice: equal rows are one line
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3])], "doc_id long, text string")
+    found = {r["doc_id"]: r["rep_doc_id"] for r in line_dedup.line_components(docs).collect()}
+    assert found == dict(enumerate(root)) and len(set(root[:400])) > 1 and sum(pairs) < 20_000
+
+
+@pytest.mark.parametrize("n", [5, 20, 200])
+def test_bands_of_alike_lines(spark, n):
+    """Pairs that share four fifths of their shingles, or as many as are needed, have a band in common: of 2,000 pairs, at most 8 don't."""
+    rng = random.Random(n)
+    made = [prose(rng, 100 + n)[: n + 7] for _ in range(2_000)]
+    cut = max(1, n // 5)
+    rows = [(2 * i + k, 0, x, i) for i, a in enumerate(made) for k, x in enumerate((a, a[: len(a) - cut]))]
+    own = spark.createDataFrame(rows, "ha long, hb long, line string, place long")
+    got = {r["ha"]: r for r in line_dedup.signed(own, ["ha", "hb"], line_dedup.CHARS, line_dedup.BANDS, line_dedup.ROWS).collect()}
+    lost = sum(not any(got[2 * i][f"b{k}"] == got[2 * i + 1][f"b{k}"] for k in range(line_dedup.BANDS)) for i in range(2_000))
+    assert len(got) == 4_000 and lost <= 8
+
+
 def test_line_dedup_of_nothing(empty):
     assert line_dedup.line_components(empty).count() == 0
 
