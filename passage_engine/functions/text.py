@@ -74,6 +74,17 @@ def terms(text: Column, stop_words: frozenset[str] | None = None) -> Column:
     return F.filter(found, lambda t: ~t.isin(stop)) if stop else found
 
 
+def term_counts(text: Column, stop_words: frozenset[str] | None = None) -> Column:
+    """Array of (term, tf), each term of ``terms`` once, counted inside the row."""
+
+    def runs(found: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: (i == 0) | (F.get(found, i) != F.get(found, i - 1)))
+        counted = lambda at: F.transform(at, lambda p, j: F.struct(F.get(found, p).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(found)) - p).cast("long").alias("tf")))
+        return F.when(F.size(found) > 0, let(starts, counted))
+
+    return let(F.sort_array(terms(text, stop_words)), runs)
+
+
 @lru_cache(1)
 def english_stop_words() -> frozenset[str]:
     lines = (Path(__file__).parents[1] / "resources" / "stop_words_en.txt").read_text(encoding="utf-8").splitlines()

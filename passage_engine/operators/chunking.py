@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,6 +78,50 @@ def all_classic(pages: DataFrame, d: Defaults = DEFAULTS) -> DataFrame:
     return fixed(pages, d.fixed_size, d.fixed_overlap).unionByName(structure(pages, d.fixed_size, d.fixed_overlap)).unionByName(sliding(pages, d.window, d.stride))
 
 
+@dataclass(frozen=True)
+class Cut:
+    """Windows of a pipeline: over whole pages, or inside the segments between headings."""
+
+    pipeline: str
+    size: int
+    step: int
+    by_heading: bool = False
+
+
+def classic(d: Defaults = DEFAULTS) -> tuple[Cut, ...]:
+    return Cut("fixed", d.fixed_size, d.fixed_size - d.fixed_overlap), Cut("structure", d.fixed_size, d.fixed_size - d.fixed_overlap, True), Cut("sliding", d.window, d.stride)
+
+
+def pieces(body: Column, cuts: tuple[Cut, ...]) -> Column:
+    """Array of the chunks of one page, of all ``cuts``: (p, the place in ``cuts``, segment_ord, window_ord, start, end, section_title, text)."""
+    none = F.lit(None).cast("string")
+
+    def of(c: Cut, parts: Column, segment: Column, title: Column) -> Column:
+        check(c.size, c.step)
+        return F.transform(windows(parts, c.size, c.step), lambda w, k: F.struct(F.lit(cuts.index(c)).alias("p"), segment.alias("segment_ord"), k.alias("window_ord"), w["start"].alias("start"), w["end"].alias("end"), title.alias("section_title"), w["text"].alias("text")))
+
+    def inside(c: Cut) -> Column:
+        return F.flatten(F.transform(T.segments(body), lambda s, j: T.let(T.tokens(s["body"]), lambda parts: of(c, parts, j, s["title"]))))
+
+    whole, headed = [c for c in cuts if not c.by_heading], [c for c in cuts if c.by_heading]
+    out = [T.let(T.tokens(body), lambda parts: F.concat(*[of(c, parts, F.lit(0), none) for c in whole]))] if whole else []
+    return F.concat(*out, *map(inside, headed))
+
+
+def counts(body: Column, cuts: tuple[Cut, ...]) -> list[Column]:
+    """Number of chunks of one page, for each of ``cuts`` in order; no text is joined."""
+    n = F.size(T.tokens(body))
+
+    def of(c: Cut) -> Column:
+        check(c.size, c.step)
+        if not c.by_heading:
+            return T.let(n, lambda x: window_count(x, c.size, c.step))
+        each = F.transform(T.segments(body), lambda s: T.let(F.size(T.tokens(s["body"])), lambda x: window_count(x, c.size, c.step)))
+        return F.aggregate(each, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
+
+    return [F.coalesce(of(c), F.lit(0)) for c in cuts]
+
+
 RUNS = 64
 
 

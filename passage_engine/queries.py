@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from passage_engine.config import DEFAULTS as D
 from passage_engine.functions import text as T
-from passage_engine.operators import answers, chunking, dense, evaluation, groundtruth, sparse
+from passage_engine.operators import answers, blocks, chunking, dense, evaluation, groundtruth, sparse
 from passage_engine.operators.topk import top_k
 from passage_engine.plans import engine
 from passage_engine.providers import HashEmbedder, OverlapJudge, ScriptedModel
@@ -22,6 +22,8 @@ from passage_engine.sources import readers, tables, writers
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 PIPELINES = ("fixed", "structure", "sliding")
+CUTS = {c.pipeline: c for c in chunking.classic()}
+FIXED_CUT, SEMANTIC = (CUTS["fixed"],), chunking.Cut("semantic", D.fixed_size, D.fixed_size - D.fixed_overlap)
 
 
 def query(sql: str | None = None):
@@ -257,8 +259,7 @@ def vocabulary(spark, sf):
 
 def _retrieval(name: str) -> None:
     def run(spark, sf):
-        cut = {"fixed": chunking.fixed, "structure": chunking.structure, "sliding": chunking.sliding}[name]
-        return engine.search(_table_of(cut(_pages(spark, sf))), _questions(spark, sf), D.top_k)
+        return blocks.retrieve(_pages(spark, sf), (CUTS[name],), _questions(spark, sf), D.top_k)
 
     run.__name__ = f"retrieve_tfidf_{name}"
     query(f"WITH {_chunk_sql(name)}, {INDEX}, {_search(BENCH, 6)} SELECT {HITS} FROM hits")(run)

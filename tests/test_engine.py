@@ -413,3 +413,33 @@ def test_numbering_over_ranges_of_names(spark, monkeypatch):
     assert sorted(map(tuple, chunking.numbered(cut).collect())) == plain
     own = [r for r in plain if r[0] == "c"]
     assert [r[2] for r in own] == list(range(len(own))) and [r[3] for r in own] == sorted(r[3] for r in own)
+
+
+def test_blocks_of_any_size(spark, monkeypatch):
+    """Repeated pages, collections without a name and blocks of a few bytes leave numbers, scores and texts as they are."""
+    from passage_engine.operators import blocks
+
+    rng = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "the", "mu", "Section 1\n", "\nTITRE UN\n"]
+    rows = [("c" if i % 3 else "d", f"f{i % 40:02d}", 1 + i % 2, " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))) for i in range(90)]
+    pages = spark.createDataFrame([*rows, rows[5], (None, "x", 1, "alpha beta")], PAGES)
+    asked = spark.createDataFrame(list(enumerate(["alpha of beta", "unknown words", "gamma gamma delta mu"])), "question_idx int, question string")
+    cuts = chunking.Cut("fixed", 7, 5), chunking.Cut("structure", 5, 3, True)
+
+    def results():
+        numbers = blocks.numbered(pages, cuts).collect()
+        passages = answers.with_passages(search(chunking_table, asked, 4), chunking_table) if chunking_table else blocks.retrieve_passages(pages, cuts, asked, 4)
+        return sorted(map(str, numbers)), sorted(map(str, (r.asDict() for r in passages.select("question_idx", "collection_id", "pipeline", "rank", "score", "chunk_ord", "text", "meta").collect() if r["collection_id"])))
+
+    chunking_table = None
+    whole = results()
+    for size in (1 << 12, 200):
+        monkeypatch.setattr(blocks, "BLOCK", size)
+        assert blocks.deal(pages, cuts).blocks.count() > 3 or size > 200
+        assert results() == whole
+    chunking_table = blocks.numbered(pages, cuts).cache()
+    assert results()[1] == whole[1]
+    ords = {}
+    for r in sorted(chunking_table.collect(), key=lambda r: (str(r[0]), r[1], r[2])):
+        ords.setdefault((r[0], r[1]), []).append((r["chunk_ord"], r["source_file"], r["page"]))
+    assert all([x[0] for x in v] == list(range(len(v))) and [x[1:] for x in v] == sorted(x[1:] for x in v) for v in ords.values())
