@@ -273,7 +273,7 @@ for _name in PIPELINES:
 def retrieve_zero_fill(spark, sf):
     """All questions and one without a known term, whose number no question has; k beyond a collection's matches."""
     unknown = spark.createDataFrame([(-1, "zzqqx unknownish the of and")], "question_idx int, question string")
-    return engine.search(_fixed(spark, sf), _questions(spark, sf).unionByName(unknown), 9)
+    return blocks.retrieve(_pages(spark, sf), FIXED_CUT, _questions(spark, sf).unionByName(unknown), 9)
 
 
 # ---------------------------------------------------------------- sinks and scans
