@@ -357,8 +357,7 @@ def answer_payload_sources(spark, sf):
 @query(rf"""WITH {FIXED}, {INDEX}, {_search(BENCH, 6)} SELECT question_idx, collection_id, pipeline, md5(string_agg('[Source ' || rank || ': ' || source_file || ' - Page ' || page || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS chat_md5,
   md5(string_agg('Document ' || collection_id || ', Page ' || page || ', Section: ' || coalesce(section_title, 'None') || chr(10) || text, chr(10) || chr(10) ORDER BY rank) FILTER (rank <= 5)) AS answer_md5 FROM hits JOIN chunks USING (collection_id, pipeline, chunk_ord) GROUP BY ALL""")
 def prompt_contexts(spark, sf):
-    chunks = _fixed(spark, sf)
-    own = answers.passages_by_question(answers.with_passages(engine.search(chunks, _questions(spark, sf)), chunks))
+    own = answers.passages_by_question(blocks.retrieve_passages(_pages(spark, sf), FIXED_CUT, _questions(spark, sf), D.top_k))
     return own.select("question_idx", "collection_id", "pipeline", F.md5(answers.chat_context(F.col("hits"))).alias("chat_md5"), F.md5(answers.answer_context(F.col("hits"))).alias("answer_md5"))
 
 
