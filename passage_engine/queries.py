@@ -497,8 +497,8 @@ def generated_ground_truth(spark, sf):
 @query(rf"""WITH {FIXED}, {INDEX}, {_search(BENCH, 6)} SELECT question_idx, collection_id, pipeline, right(string_agg('Document ' || collection_id || ', Page ' || page || ', Section: ' || coalesce(section_title, 'None') || chr(10) || text, chr(10) || chr(10) ORDER BY rank) FILTER (rank <= 5) || chr(10) || chr(10) || 'Question: ' || question, 80) AS answer,
   NULL::VARCHAR AS error FROM hits JOIN chunks USING (collection_id, pipeline, chunk_ord) JOIN qs USING (question_idx) GROUP BY question_idx, collection_id, pipeline, question""")
 def model_answers(spark, sf):
-    chunks, questions = _fixed(spark, sf), _questions(spark, sf)
-    found = answers.with_passages(engine.search(chunks, questions), chunks)
+    questions = _questions(spark, sf)
+    found = blocks.retrieve_passages(_pages(spark, sf), FIXED_CUT, questions, D.top_k)
     return answers.model_answers(questions, found, ScriptedModel(lambda p: p[-80:])).select("question_idx", "collection_id", "pipeline", "answer", "error")
 
 
