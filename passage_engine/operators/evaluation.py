@@ -75,5 +75,9 @@ def overall(summary: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame
 
 
 def status(chunks: DataFrame) -> DataFrame:
-    """Chunks, pages and files of each collection and pipeline."""
-    return chunks.groupBy("collection_id", "pipeline").agg(F.count("*").alias("chunks"), F.count_distinct("source_file", "page").alias("pages"), F.count_distinct("source_file").alias("files"))
+    """Chunks, pages and files of each collection and pipeline, counted by page, by file and over files."""
+    own = ["collection_id", "pipeline"]
+    pages = chunks.groupBy(*own, "source_file", "page").agg(F.count("*").alias("n"))
+    files = pages.groupBy(*own, "source_file").agg(F.sum("n").alias("n"), F.count("page").alias("pages"))
+    named = F.col("source_file").isNotNull()
+    return files.groupBy(*own).agg(F.sum("n").alias("chunks"), F.coalesce(F.sum(F.when(named, F.col("pages"))), F.lit(0)).alias("pages"), F.count("source_file").alias("files"))

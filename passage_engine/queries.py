@@ -220,7 +220,7 @@ def union_pipelines(spark, sf):
 
 @query(f"WITH {ALL} SELECT collection_id, pipeline, count(*) AS chunks, count(DISTINCT (source_file, page)) AS pages, count(DISTINCT source_file) AS files FROM chunks GROUP BY ALL")
 def chunk_counts_by_pipeline(spark, sf):
-    return evaluation.status(_chunks(spark, sf))
+    return evaluation.status(chunking.all_classic(_pages(spark, sf)))
 
 
 # ---------------------------------------------------------------- sparse index
