@@ -15,8 +15,8 @@ DIGITS = 6  # scores are rounded before they are ranked, so that the order of a
 
 
 def term_frequency(chunks: DataFrame, stop_words: frozenset[str] | None = None, own: list[str] = OWN) -> DataFrame:
-    each = chunks.select(*own, "chunk_ord", F.explode(T.terms(F.col("text"), stop_words)).alias("term"))
-    return each.groupBy(*own, "chunk_ord", "term").agg(F.count("*").alias("tf"))
+    """A row for each term of a chunk, counted inside the chunk's row."""
+    return chunks.select(*own, "chunk_ord", F.explode(T.term_counts(F.col("text"), stop_words)).alias("t")).select(*own, "chunk_ord", "t.term", "t.tf")
 
 
 def term_stats(tf: DataFrame, chunks: DataFrame, own: list[str] = OWN) -> DataFrame:

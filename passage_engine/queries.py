@@ -228,7 +228,7 @@ def chunk_counts_by_pipeline(spark, sf):
 
 @query(f"WITH {FIXED}, {INDEX} SELECT * FROM tf")
 def term_frequency(spark, sf):
-    return sparse.term_frequency(_fixed(spark, sf))
+    return sparse.term_frequency(blocks.numbered(_pages(spark, sf), FIXED_CUT))
 
 
 @query(f"WITH {FIXED}, {INDEX} SELECT collection_id, pipeline, term, df, round(idf, 6) AS idf FROM stats")

@@ -443,3 +443,13 @@ def test_blocks_of_any_size(spark, monkeypatch):
     for r in sorted(chunking_table.collect(), key=lambda r: (str(r[0]), r[1], r[2])):
         ords.setdefault((r[0], r[1]), []).append((r["chunk_ord"], r["source_file"], r["page"]))
     assert all([x[0] for x in v] == list(range(len(v))) and [x[1:] for x in v] == sorted(x[1:] for x in v) for v in ords.values())
+
+
+def test_terms_are_counted_in_their_row(spark, strings):
+    """No term is dealt: one row a text goes in, its counted terms come out."""
+    want = [Counter(w for w in re.findall(r"\w{2,}", t.lower()) if w not in T.english_stop_words()) for t in strings]
+    got = one(spark, strings, T.term_counts)
+    assert [{x["term"]: x["tf"] for x in r or []} for r in got] == want and all(len(r or []) == len(w) for r, w in zip(got, want))
+    chunks = chunking.numbered(chunking.fixed(pages_of(spark, ["b a bb aa bb"])))
+    plan = sparse.term_frequency(chunks.select("collection_id", "pipeline", "chunk_ord", "text").coalesce(1))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Generate")[0]
