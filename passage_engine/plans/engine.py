@@ -11,17 +11,15 @@ from pyspark.sql import functions as F
 
 from passage_engine.config import CLASSIC, DEFAULTS, DENSE, Defaults
 from passage_engine.functions import text as T
-from passage_engine.operators import answers, chunking, dense, evaluation, groundtruth, sparse
+from passage_engine.operators import answers, blocks, chunking, dense, evaluation, groundtruth, sparse
 from passage_engine.providers import Embedder, Judge, LanguageModel
 from passage_engine.sources import readers, tables, writers
 
 
 def build_chunks(pages: DataFrame, defaults: Defaults = DEFAULTS, dense_pipelines: tuple[str, ...] = ()) -> DataFrame:
     """Numbered chunks of the three classic pipelines, and of the dense ones named."""
-    cut = chunking.all_classic(pages, defaults)
-    for name in dense_pipelines:
-        cut = cut.unionByName(chunking.semantic(pages, defaults.fixed_size, defaults.fixed_overlap, name))
-    return chunking.numbered(tables.pin(cut, "cut"))
+    dense_cuts = [chunking.Cut(name, defaults.fixed_size, defaults.fixed_size - defaults.fixed_overlap) for name in dense_pipelines]
+    return blocks.numbered(pages, (*chunking.classic(defaults), *dense_cuts))
 
 
 def search(chunks: DataFrame, questions: DataFrame, k: int = DEFAULTS.top_k, stop_words: frozenset[str] | None = None) -> DataFrame:

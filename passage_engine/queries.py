@@ -190,27 +190,27 @@ def projections(spark, sf):
 
 @query(f"WITH {FIXED} SELECT {SHOWN} FROM chunks")
 def chunk_fixed(spark, sf):
-    return _shown(chunking.numbered(chunking.fixed(_pages(spark, sf))))
+    return _shown(blocks.numbered(_pages(spark, sf), FIXED_CUT))
 
 
 @query(f"WITH {_chunk_sql('sliding')} SELECT {SHOWN} FROM chunks")
 def chunk_sliding(spark, sf):
-    return _shown(chunking.numbered(chunking.sliding(_pages(spark, sf))))
+    return _shown(blocks.numbered(_pages(spark, sf), (CUTS["sliding"],)))
 
 
 @query(f"WITH {PAGES}, {SEGMENTS}, cut AS (SELECT * FROM {_cut(WHOLE, 'sliding', 100, 150)}), chunks AS ({NUMBERED}) SELECT {SHOWN} FROM chunks")
 def chunk_sliding_gapped(spark, sf):
-    return _shown(chunking.numbered(chunking.sliding(_pages(spark, sf), 100, 150)))
+    return _shown(blocks.numbered(_pages(spark, sf), (chunking.Cut("sliding", 100, 150),)))
 
 
 @query(f"WITH {_chunk_sql('structure')} SELECT {SHOWN} FROM chunks")
 def chunk_structure(spark, sf):
-    return _shown(chunking.numbered(chunking.structure(_pages(spark, sf))))
+    return _shown(blocks.numbered(_pages(spark, sf), (CUTS["structure"],)))
 
 
 @query(f"WITH {PAGES}, {SEGMENTS}, cut AS (SELECT * FROM {_cut(WHOLE, 'semantic', 500, 420)}), chunks AS ({NUMBERED}) SELECT {SHOWN} FROM chunks")
 def chunk_semantic(spark, sf):
-    return _shown(chunking.numbered(chunking.semantic(_pages(spark, sf))))
+    return _shown(blocks.numbered(_pages(spark, sf), (SEMANTIC,)))
 
 
 @query(f"WITH {ALL} SELECT {SHOWN} FROM chunks")
@@ -283,7 +283,7 @@ def retrieve_zero_fill(spark, sf):
 def chunk_store_round_trip(spark, sf):
     """Chunks of all pipelines written into the partitioned store and scanned again."""
     data = tables.new_path(spark, "index")
-    writers.store(_chunks(spark, sf), data, "chunks", ["chunk_ord"])
+    writers.store_dealt(blocks.numbered(_pages(spark, sf), chunking.classic()), data, "chunks", ["chunk_ord"])
     return _shown(readers.chunk_store(spark, data)).select("collection_id", "pipeline", "chunk_ord", "source_file", "page", "start", "end", "section_title", "text_md5")
 
 

@@ -12,7 +12,12 @@ PARTITIONS = ["collection_id", "pipeline"]
 
 def store(df: DataFrame, data: str, name: str, order: list[str]) -> None:
     """Write a table of the index; a collection's pipeline that comes again replaces what was there, others stay."""
-    out = df.repartition(*PARTITIONS, F.pmod(F.xxhash64(order[0]), F.lit(8))).sortWithinPartitions(*PARTITIONS, *order)
+    store_dealt(df.repartition(*PARTITIONS, F.pmod(F.xxhash64(order[0]), F.lit(8))), data, name, order)
+
+
+def store_dealt(df: DataFrame, data: str, name: str, order: list[str]) -> None:
+    """The same for rows of which each task has a few collections already: nothing is dealt again."""
+    out = df.sortWithinPartitions(*PARTITIONS, *order)
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(f"{data}/{name}")
 
 
@@ -31,8 +36,8 @@ def _csv(df: DataFrame, path: str) -> None:
 
 
 def json_lines(df: DataFrame, path: str) -> None:
-    """One object a line, nulls included."""
-    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """One object a line, nulls included; a file for each task, as one task can't sort and write all."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def as_json(df: DataFrame) -> DataFrame:
