@@ -71,6 +71,15 @@ def _fixed(spark: SparkSession, sf: str) -> DataFrame:
     return _table_of(chunking.fixed(_pages(spark, sf)))
 
 
+def _index(spark: SparkSession, sf: str) -> blocks.Index:
+    return blocks.index(blocks.deal(_pages(spark, sf), FIXED_CUT))
+
+
+def _of_chunks(rows: DataFrame, own: blocks.Index) -> DataFrame:
+    named = blocks.named(rows, own.dealt, FIXED_CUT)
+    return named.withColumn("chunk_ord", (F.col("before") + F.col("nth")).cast("int"))
+
+
 # ---------------------------------------------------------------- SQL parts
 
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
@@ -246,9 +255,8 @@ def chunk_norms(spark, sf):
 
 @query(f"WITH {FIXED}, {INDEX} SELECT collection_id, pipeline, chunk_ord, term, tf, round(weight, 6) AS weight FROM post")
 def postings(spark, sf):
-    chunks = _fixed(spark, sf)
-    tf = tables.pin(sparse.term_frequency(chunks), "tf")
-    return sparse.postings(tf, sparse.term_stats(tf, chunks)).withColumn("weight", F.round("weight", 6))
+    own = _index(blocks.session(spark), sf)
+    return _of_chunks(own.postings(), own).select("collection_id", "pipeline", "chunk_ord", "term", "tf", F.round("weight", 6).alias("weight"))
 
 
 @query(f"WITH {FIXED}, {INDEX} SELECT collection_id, pipeline, count(DISTINCT term) AS vocabulary FROM stats GROUP BY ALL")

@@ -453,3 +453,18 @@ def test_terms_are_counted_in_their_row(spark, strings):
     chunks = chunking.numbered(chunking.fixed(pages_of(spark, ["b a bb aa bb"])))
     plan = sparse.term_frequency(chunks.select("collection_id", "pipeline", "chunk_ord", "text").coalesce(1))._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan.split("Generate")[0]
+
+
+def test_postings_stay_in_their_block(spark, sf, monkeypatch):
+    """What is dealt between tasks has a row a page, a row a term of a block, or k rows a question: no plan deals rows by chunk."""
+    from passage_engine.queries import QUERIES
+    from passage_engine.sources import tables
+
+    plans, pin = [], tables.pin
+    monkeypatch.setattr(tables, "pin", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or pin(df, name))
+    for name in ("retrieve_tfidf_fixed", "answer_payload_sources", "postings", "chunk_norms", "chunk_counts_by_pipeline"):
+        found = QUERIES[name](spark, sf)
+        plans.append(found._jdf.queryExecution().executedPlan().toString().replace("keys=[question_idx", ""))
+    dealt = [x for p in plans for x in re.findall(r"Exchange hashpartitioning\((.*)\), \w", p)]
+    assert dealt and not [x for x in dealt if re.search(r"\bnth#|tf#", x) or "chunk_ord#" in x and "question_idx#" not in x]
+    assert "Expand" not in plans[-1]
