@@ -248,9 +248,8 @@ def term_stats_idf(spark, sf):
 
 @query(f"WITH {FIXED}, {INDEX} SELECT collection_id, pipeline, chunk_ord, round(sqrt(sum((tf * idf) ** 2)), 6) AS norm FROM tf JOIN stats USING (collection_id, pipeline, term) GROUP BY ALL")
 def chunk_norms(spark, sf):
-    chunks = _fixed(spark, sf)
-    tf = tables.pin(sparse.term_frequency(chunks), "tf")
-    return sparse.chunk_norms(tf, sparse.term_stats(tf, chunks)).withColumn("norm", F.round("norm", 6))
+    own = _index(blocks.session(spark), sf)
+    return _of_chunks(own.norms(), own).select("collection_id", "pipeline", "chunk_ord", F.round("norm", 6).alias("norm"))
 
 
 @query(f"WITH {FIXED}, {INDEX} SELECT collection_id, pipeline, chunk_ord, term, tf, round(weight, 6) AS weight FROM post")
