@@ -242,8 +242,8 @@ def term_frequency(spark, sf):
 
 @query(f"WITH {FIXED}, {INDEX} SELECT collection_id, pipeline, term, df, round(idf, 6) AS idf FROM stats")
 def term_stats_idf(spark, sf):
-    chunks = _fixed(spark, sf)
-    return sparse.term_stats(sparse.term_frequency(chunks), chunks).withColumn("idf", F.round("idf", 6))
+    own = _index(spark, sf)
+    return blocks.named(own.term_stats(), own.dealt, FIXED_CUT).select("collection_id", "pipeline", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {FIXED}, {INDEX} SELECT collection_id, pipeline, chunk_ord, round(sqrt(sum((tf * idf) ** 2)), 6) AS norm FROM tf JOIN stats USING (collection_id, pipeline, term) GROUP BY ALL")
@@ -260,8 +260,8 @@ def postings(spark, sf):
 
 @query(f"WITH {FIXED}, {INDEX} SELECT collection_id, pipeline, count(DISTINCT term) AS vocabulary FROM stats GROUP BY ALL")
 def vocabulary(spark, sf):
-    chunks = _fixed(spark, sf)
-    return sparse.term_stats(sparse.term_frequency(chunks), chunks).groupBy("collection_id", "pipeline").agg(F.count_distinct("term").alias("vocabulary"))
+    own = _index(spark, sf)
+    return blocks.named(own.term_stats(), own.dealt, FIXED_CUT).groupBy("collection_id", "pipeline").agg(F.count("*").alias("vocabulary"))
 
 
 def _retrieval(name: str) -> None:
