@@ -297,11 +297,9 @@ def chunk_store_round_trip(spark, sf):
 @query(f"WITH {FIXED}, {INDEX} SELECT collection_id, pipeline, chunk_ord, term, tf, round(weight, 6) AS weight, df, round(idf, 6) AS idf FROM post JOIN stats USING (collection_id, pipeline, term)")
 def sparse_index_round_trip(spark, sf):
     """Postings and term statistics written into the store, scanned again and joined."""
-    data, chunks = tables.new_path(spark, "index"), _fixed(spark, sf)
-    tf = tables.pin(sparse.term_frequency(chunks), "tf")
-    stats = tables.pin(sparse.term_stats(tf, chunks), "stats")
-    writers.store(stats, data, "term_stats", ["term"])
-    writers.store(sparse.postings(tf, stats), data, "postings", ["term"])
+    data, own = tables.new_path(spark, "index"), _index(blocks.session(spark), sf)
+    writers.store_dealt(blocks.named(own.term_stats(), own.dealt, FIXED_CUT).select("collection_id", "pipeline", "term", "df", "idf"), data, "term_stats", ["term"])
+    writers.store_dealt(_of_chunks(own.postings(), own).select("collection_id", "pipeline", "chunk_ord", "term", "tf", "weight"), data, "postings", ["term"])
     index, kept = readers.sparse_index(spark, data, pipelines=["fixed"])
     own = index.join(kept, ["collection_id", "pipeline", "term"])
     return own.select("collection_id", "pipeline", "chunk_ord", "term", "tf", F.round("weight", 6).alias("weight"), "df", F.round("idf", 6).alias("idf"))
