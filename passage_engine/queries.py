@@ -22,6 +22,7 @@ from passage_engine.sources import readers, tables, writers
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 PIPELINES = ("fixed", "structure", "sliding")
+TASK_BYTES = 16 << 20  # of texts that one task sorts or groups
 CUTS = {c.pipeline: c for c in chunking.classic()}
 FIXED_CUT, SEMANTIC = (CUTS["fixed"],), chunking.Cut("semantic", D.fixed_size, D.fixed_size - D.fixed_overlap)
 
@@ -51,6 +52,14 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "benchmark").select(F.col("item_id").cast("int").alias("question_idx"), F.col("text").alias("question"))
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by ``keys`` to as many tasks as their texts need, where the session's number of tasks is too small for that."""
+    texts = [F.octet_length(f.name) for f in rows.schema.fields if f.dataType.typeName() == "string"]
+    total = rows.agg(F.coalesce(F.sum(sum(map(lambda x: F.coalesce(x, F.lit(0)), texts), F.lit(0))), F.lit(0))).first()[0]
+    n = total // TASK_BYTES
+    return rows.repartition(n, *keys) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def _qa(spark: SparkSession, sf: str) -> DataFrame:
     """User turns with the assistant's next turn; the conversation's first user turn is the truth."""
     c = _table(spark, sf, "conversations")
@@ -310,7 +319,7 @@ def ground_truth_round_trip(spark, sf):
     """Pairs written as JSON lines and scanned as ground truth."""
     path = tables.new_path(spark, "truth")
     writers.json_lines(_qa(spark, sf).select("question", "answer"), path)
-    return readers.ground_truth(spark, path).groupBy("question", "answer").agg(F.count("*").alias("n"))
+    return _spread(readers.ground_truth(spark, path), "question", "answer").groupBy("question", "answer").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- dense index

@@ -468,3 +468,8 @@ def test_postings_stay_in_their_block(spark, sf, monkeypatch):
     dealt = [x for p in plans for x in re.findall(r"Exchange hashpartitioning\((.*)\), \w", p)]
     assert dealt and not [x for x in dealt if re.search(r"\bnth#|tf#", x) or "chunk_ord#" in x and "question_idx#" not in x]
     assert "Expand" not in plans[-1]
+
+
+def test_ground_truth_is_written_by_many_tasks(spark, tmp_path):
+    writers.json_lines(spark.range(40).repartition(4).select(F.col("id").cast("string").alias("question"), F.lit(None).cast("string").alias("answer")), str(tmp_path / "x"))
+    assert len(glob.glob(str(tmp_path / "x/*.json"))) == 4 and readers.ground_truth(spark, str(tmp_path / "x")).count() == 40
