@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 PIPELINES = ("fixed", "structure", "sliding")
 TASK_BYTES = 16 << 20  # of texts that one task sorts or groups
+TASK_BYTES = 16 << 20  # of texts that one task sorts or groups
 CUTS = {c.pipeline: c for c in chunking.classic()}
 FIXED_CUT, SEMANTIC = (CUTS["fixed"],), chunking.Cut("semantic", D.fixed_size, D.fixed_size - D.fixed_overlap)
 
@@ -340,7 +341,7 @@ def retrieve_dense_cosine(spark, sf):
 @query()
 def embed_and_retrieve(spark, sf):
     """Chunks and questions embedded by the deterministic stand-in for a sentence model."""
-    vectors = dense.embed(chunking.numbered(chunking.semantic(_pages(spark, sf))), "text", HashEmbedder())
+    vectors = dense.embed(blocks.numbered(_pages(spark, sf), (SEMANTIC,)), "text", HashEmbedder())
     asked = dense.embed(_questions(spark, sf), "question", HashEmbedder(), tolerant=False).select("question_idx", F.col("embedding").alias("vector"), F.col("norm").alias("vector_norm"))
     return dense.retrieve_vectors(vectors, asked, D.top_k)
 

@@ -473,3 +473,25 @@ def test_postings_stay_in_their_block(spark, sf, monkeypatch):
 def test_ground_truth_is_written_by_many_tasks(spark, tmp_path):
     writers.json_lines(spark.range(40).repartition(4).select(F.col("id").cast("string").alias("question"), F.lit(None).cast("string").alias("answer")), str(tmp_path / "x"))
     assert len(glob.glob(str(tmp_path / "x/*.json"))) == 4 and readers.ground_truth(spark, str(tmp_path / "x")).count() == 40
+
+
+def test_dense_search_makes_no_pairs(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    m = rng.integers(-2, 3, (70, 3)).astype(float)
+    rows = [("c" if i % 2 else None, "p", i, None if i == 9 else [float(x) for x in v]) for i, v in enumerate(m)]
+    m[9] = 0
+    vectors = spark.createDataFrame(rows, "collection_id string, pipeline string, chunk_ord int, embedding array<float>").withColumn("norm", dense.norm(F.col("embedding"))).repartition(3)
+    asked = vectors.where("chunk_ord in (1, 2, 9)").select(F.col("chunk_ord").alias("question_idx"), F.col("embedding").alias("vector"), F.col("norm").alias("vector_norm"))
+    monkeypatch.setattr(dense, "HELD", 12)
+    found = dense.retrieve_vectors(vectors, asked, 4)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    want = set()
+    for q in (1, 2, 9):
+        score = np.round(unit @ unit[q], 6) + 0.0
+        for odd in (0, 1):
+            own = np.arange(odd, 70, 2)
+            want |= {(q, "c" if odd else None, rank + 1, int(own[j])) for rank, j in enumerate(np.lexsort((own, -score[own]))[:4])}
+    assert {(r["question_idx"], r["collection_id"], r["rank"], r["chunk_ord"]) for r in found.collect()} == want
